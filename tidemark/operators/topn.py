@@ -1,0 +1,117 @@
+"""The N highest-scoring rows of every group, skipping what statistics rule out.
+
+Layout: files clustered by group (range-partitioned and sorted by group, score
+descending, tie key), so a hot group covers many files and a small one a part
+of a row group. Reading: the row-group statistics of the file footers give, per
+group, a score that N rows surely reach; row groups of that group which lie
+strictly below are never opened. The others are read file by file in
+descending maximum score, and one that lies strictly below the group's current
+N-th score is skipped as well. What is left is at most N rows per group and
+file, ranked once more.
+
+Defined cases: rows with a null group column or a null or NaN score take no
+part; equal scores are ordered by the tie key from low to high, a null tie key
+first; rows equal in all of these are ranked one after the other; an empty
+table gives an empty result; columns that aren't named are left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+
+#: Bytes of a row group in the clustered layout; small, so that skipping is fine-grained.
+ROW_GROUP_BYTES = 1 << 20
+
+
+def cluster(df: DataFrame, groups: list[str], score: str, tie: str, path: str) -> None:
+    """Write the rows that can be ranked, clustered by group."""
+    rows = df.select(*groups, score, tie).filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    rows = reduce(lambda d, g: d.filter(F.col(g).isNotNull()), groups, rows)
+    order = [*[F.col(g).asc() for g in groups], F.col(score).desc(), F.col(tie).asc()]
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.bloom.filter.enabled", "false").parquet(path)
+
+
+def _open(path: str):
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    fs, inner = pafs.FileSystem.from_uri(path)
+    return pq.ParquetFile(inner, filesystem=fs)
+
+
+def zone_map(spark: SparkSession, path: str, groups: list[str], score: str) -> DataFrame:
+    """One row per row group: file, row_group, rows, pure (one group only), g0.. (its group), lo and hi of the score."""
+    files = spark.read.parquet(path).inputFiles()
+    fields = [T.StructField("file", T.StringType()), T.StructField("row_group", T.IntegerType()), T.StructField("rows", T.LongType()), T.StructField("pure", T.BooleanType())]
+    fields += [T.StructField(f"g{i}", T.StringType()) for i in range(len(groups))] + [T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]
+
+    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for file in batch["file"]:
+                with _open(file) as f:
+                    meta = f.metadata
+                    at = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+                    for k in range(meta.num_row_groups):
+                        rg = meta.row_group(k)
+                        stats = {c: rg.column(at[c]).statistics for c in [*groups, score]}
+                        whole = all(s is not None and s.has_min_max for s in stats.values())
+                        pure = whole and all(stats[g].min == stats[g].max for g in groups)
+                        lo, hi = (float(stats[score].min), float(stats[score].max)) if whole else (float("-inf"), float("inf"))
+                        out.append([file, k, rg.num_rows, pure, *[str(stats[g].min) if pure else None for g in groups], lo, hi])
+            yield pd.DataFrame(out, columns=[f.name for f in fields])
+
+    listed = spark.createDataFrame([(f,) for f in files], "file string")
+    return listed.repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism))).mapInPandas(footers, T.StructType(fields))
+
+
+def kept_row_groups(zones: DataFrame, n_groups: int, n: int) -> DataFrame:
+    """The row groups that statistics alone can't rule out."""
+    g = [f"g{i}" for i in range(n_groups)]
+    from_top = W.partitionBy(*g).orderBy(F.desc("lo")).rowsBetween(W.unboundedPreceding, 0)
+    pure = zones.filter("pure").withColumn("__rows", F.sum("rows").over(from_top))
+    floor = pure.filter(F.col("__rows") >= n).groupBy(*g).agg(F.max("lo").alias("__floor"))
+    kept = pure.drop("__rows").join(floor, g, "left").filter("__floor is null or hi >= __floor").drop("__floor")
+    return zones.filter("not pure").unionByName(kept)
+
+
+def top_n(spark: SparkSession, path: str, groups: list[str], score: str, tie: str, n: int) -> DataFrame:
+    """Group columns, score, tie key and rank (1..n) of a clustered layout."""
+    zones = zone_map(spark, path, groups, score)
+    work = kept_row_groups(zones, len(groups), n).groupBy("file").agg(F.sort_array(F.collect_list(F.struct((-F.col("hi")).alias("h"), "row_group", "pure", "hi"))).alias("todo"))
+    schema = spark.read.parquet(path).schema
+    columns, types = [*groups, score, tie], T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, todo in zip(batch["file"], batch["todo"]):
+                best: pd.DataFrame | None = None
+                with _open(file) as f:
+                    for x in todo:
+                        part = None
+                        if x["pure"] and best is not None and len(best):
+                            # one group only: its statistics name it, so its N-th score so far decides
+                            meta = f.metadata.row_group(x["row_group"])
+                            at = {meta.column(i).path_in_schema: i for i in range(meta.num_columns)}
+                            same = best
+                            for g in groups:
+                                same = same[same[g] == meta.column(at[g]).statistics.min]
+                            if len(same) >= n and x["hi"] < same[score].min():
+                                continue
+                        part = f.read_row_group(x["row_group"], columns=columns).to_pandas()
+                        part = part.sort_values([score, tie], ascending=[False, True], kind="stable", na_position="first").groupby(groups, sort=False).head(n)
+                        both = part if best is None else pd.concat([best, part])
+                        best = both.sort_values([score, tie], ascending=[False, True], kind="stable", na_position="first").groupby(groups, sort=False).head(n)
+                if best is not None:
+                    yield best[columns]
+
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    candidates = work.repartition(tasks).mapInPandas(read, T.StructType([types[c] for c in columns]))
+    rank = F.row_number().over(W.partitionBy(*groups).orderBy(F.col(score).desc(), F.col(tie).asc()))
+    return candidates.withColumn("rank", rank).filter(F.col("rank") <= n)

@@ -1,0 +1,34 @@
+"""Problem 5: the 5 lives with the highest price of every collection and event type."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.operators.topn import cluster, top_n
+from tidemark.session import table, work_folder
+
+GROUP, N = ["collection", "event_type"], 5
+
+
+def ranked(spark: SparkSession, d: str) -> DataFrame:
+    path = work_folder(spark, "clustered")
+    cluster(table(spark, d, "order_lives"), GROUP, "price_eth", "order_hash", path)
+    return top_n(spark, path, GROUP, "price_eth", "order_hash", N)
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    return ranked(spark, d).select(*GROUP, "order_hash")
+
+
+_SQL = (
+    "FROM order_lives WHERE collection IS NOT NULL AND event_type IS NOT NULL AND price_eth IS NOT NULL AND NOT isnan(price_eth)"
+    f" QUALIFY row_number() OVER (PARTITION BY collection, event_type ORDER BY price_eth DESC, order_hash) <= {N}"
+)
+
+QUERIES = {
+    "p5_found": (found, f"SELECT collection, event_type, order_hash {_SQL}"),
+    "p5_ranked": (
+        ranked,
+        "SELECT collection, event_type, price_eth, order_hash, CAST(row_number() OVER (PARTITION BY collection, event_type ORDER BY price_eth DESC, order_hash) AS INTEGER) AS rank " + _SQL,
+    ),
+}
