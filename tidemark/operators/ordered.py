@@ -35,3 +35,16 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], weight: str,
     here = parts.withColumn("__local", F.sum(weight).over(local))
     both = here.join(carried(parts, keys, F.col(weight), F.sum), [*keys, PART])
     return both.withColumn(name, F.col("__local") + F.coalesce("__carry", F.lit(0))).drop("__local", "__carry", PART)
+
+
+def cumulate(parts: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Range-sorted rows with several running sums, each including its own row; the partition number stays for further ones."""
+    local = W.partitionBy(*keys, PART).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    here = parts.withColumns({f"__w_{n}": c for n, c in sums.items()})
+    here = here.withColumns({f"__l_{n}": F.sum(f"__w_{n}").over(local) for n in sums})
+    before = W.partitionBy(*keys).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
+    summary = here.groupBy(*keys, PART).agg(*[F.sum(f"__w_{n}").alias(f"__s_{n}") for n in sums])
+    carry = summary.select(*keys, PART, *[F.sum(f"__s_{n}").over(before).alias(f"__c_{n}") for n in sums])
+    both = here.join(carry, [*keys, PART])
+    both = both.withColumns({n: F.coalesce(f"__l_{n}", F.lit(0)) + F.coalesce(f"__c_{n}", F.lit(0)) for n in sums})
+    return both.drop(*[f"__{x}_{n}" for x in "wlc" for n in sums])
