@@ -1,6 +1,7 @@
 """All queries of the core: name -> (function of session and data folder, DuckDB SQL or None)."""
 
-from tidemark.plans import p1_skew, p2_once, p3_wide, p4_spans, p5_topn, p6_late
+from tidemark.plans import books, ledger, lifetimes, p1_skew, p2_once, p3_wide, p4_spans, p5_topn, p6_late, quality, series, simulation, streams, traits
 
-QUERIES = p1_skew.QUERIES | p2_once.QUERIES | p3_wide.QUERIES | p4_spans.QUERIES | p5_topn.QUERIES | p6_late.QUERIES
-FLAGSHIP = "p1_found"
+_MODULES = (p1_skew, p2_once, p3_wide, p4_spans, p5_topn, p6_late, series, books, lifetimes, traits, ledger, streams, quality, simulation)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+FLAGSHIP = "standing_ask"
