@@ -19,7 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.functions.typed import attribute_key, typed_text
+from tidemark.functions.typed import attribute_key, strip_blanks, typed_text
 from tidemark.operators.store import VersionedStore
 
 #: Declared attributes at most (they become columns, and the list is broadcast).
@@ -36,11 +36,14 @@ def declared(types: DataFrame) -> list[tuple[str, str]]:
     return [(r[0], r[1]) for r in rows]
 
 
-def _fold(cells: DataFrame, entity: list[str]) -> DataFrame:
+def _fold(cells: DataFrame, entity: list[str], versioned: bool = True) -> DataFrame:
     """One row per entity from rows of entity, __attr, __ver, __lo, __hi, __bad: per cell the latest version, whole."""
     by = [*entity, "__attr"]
-    whole = cells.groupBy(*by, "__ver").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.max("__bad").alias("__bad"))
-    latest = whole.groupBy(*by).agg(F.max(F.struct("__ver", "__lo", "__hi", "__bad")).alias("__cell"))
+    state = [F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.max("__bad").alias("__bad")]
+    if versioned:
+        latest = cells.groupBy(*by, "__ver").agg(*state).groupBy(*by).agg(F.max(F.struct("__ver", "__lo", "__hi", "__bad")).alias("__cell"))
+    else:
+        latest = cells.groupBy(*by).agg(*state).select(*by, F.struct(F.lit(None).cast("string").alias("__ver"), "__lo", "__hi", "__bad").alias("__cell"))
     return latest.groupBy(*entity).agg(F.map_from_entries(F.collect_list(F.struct("__attr", "__cell"))).alias("cells"))
 
 
@@ -48,10 +51,10 @@ def wide_delta(rows: DataFrame, types: DataFrame, entity: list[str], attribute:
     """A batch as a sparse wide delta: one row per entity with its map of cells."""
     kinds = rows.sparkSession.createDataFrame(declared(types), "__attr string, __kind string").withColumn("__name", attribute_key(F.col("__attr")))
     ver = F.col(version).cast("string") if version else F.lit(None).cast("string")
-    slim = rows.select(*entity, attribute_key(F.col(attribute)).alias("__name"), F.col(value).alias("__value"), ver.alias("__ver"))
+    slim = rows.select(*entity, attribute_key(F.col(attribute)).alias("__name"), strip_blanks(F.col(value)).alias("__value"), ver.alias("__ver"))
     named = reduce(lambda d, c: d.filter(F.col(c).isNotNull()), entity, slim).join(F.broadcast(kinds), "__name")
-    read = typed_text(F.col("__value"), F.col("__kind"))
-    return _fold(named.select(*entity, "__attr", "__ver", read.alias("__lo"), read.alias("__hi"), read.isNull().alias("__bad")), entity)
+    read = named.select(*entity, "__attr", "__ver", typed_text(F.col("__value"), F.col("__kind")).alias("__lo"))
+    return _fold(read.select("*", F.col("__lo").alias("__hi"), F.col("__lo").isNull().alias("__bad")), entity, version is not None)
 
 
 def compact(runs: list[DataFrame], entity: list[str]) -> DataFrame:
