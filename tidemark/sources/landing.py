@@ -49,9 +49,9 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 def verify_manifest(spark: SparkSession, path: str, recorded: DataFrame) -> DataFrame:
     """What differs between a recorded manifest (file, events, controls, sha256, closed) and the disk: file, problem."""
-    disk = checksums(spark, path).withColumnsRenamed({"sha256": "__sha"})
+    disk = checksums(spark, path).withColumnRenamed("sha256", "__sha")
     found = manifest(read_landing(spark, path)).select("file", F.col("events").alias("__events"), F.col("controls").alias("__controls"))
-    both = recorded.join(disk, "file", "full").join(found, "file", "left")
+    both = recorded.select("file", "events", "controls", "sha256", "closed").join(disk, "file", "full").join(found, "file", "left")
     problem = (
         F.when(F.col("bytes").isNull(), "MISSING").when(F.col("sha256").isNull() & F.col("closed").isNull(), "ORPHAN").when(~F.col("closed"), "OPEN")
         .when(F.col("sha256") != F.col("__sha"), "CHECKSUM MISMATCH").when(F.col("__events").isNull() & (F.col("events") + F.col("controls") > 0), "UNREADABLE")
