@@ -42,7 +42,7 @@ def spread(spark: SparkSession, d: str) -> DataFrame:
 
 def spread_segments(spark: SparkSession, d: str) -> DataFrame:
     legs = {"ask": (_intervals(spark, d, "item_listed"), "min"), "bid": (_intervals(spark, d, "collection_offer"), "max")}
-    return segments(legs, DAY_MS).filter("key in ('ember-beetles', 'cobalt-keepers') and (ask is not null or bid is not null)")
+    return segments(legs, DAY_MS).filter("ask is not null or bid is not null")
 
 
 def crossed_book(spark: SparkSession, d: str) -> DataFrame:
@@ -115,25 +115,25 @@ SELECT order_hash, x.collection AS collection, p_type AS event_type, x.token_id
 """
 
 
-def _iv(name: str, kind: str) -> str:
+def _iv(name: str, kind: str, extra: str = "") -> str:
     ms = "CAST(round({} * 1000) AS BIGINT)"
     return (
         f"{name}_i AS (SELECT collection AS key, order_hash AS id, {ms.format(f'greatest(t_place, {START})')} AS a, {ms.format(f'least(t_term, expiration_ts, {END})')} AS z, price_eth AS price FROM order_lives"
-        f" WHERE event_type = '{kind}' AND placement_seen = 1 AND t_place IS NOT NULL AND exit_reason <> 'unknown' AND price_eth IS NOT NULL AND NOT isnan(price_eth) AND collection IS NOT NULL),"
+        f" WHERE event_type = '{kind}' AND placement_seen = 1 AND t_place IS NOT NULL AND exit_reason <> 'unknown' AND price_eth IS NOT NULL AND NOT isnan(price_eth) AND collection IS NOT NULL {extra}),"
         f"{name}_p AS (SELECT key, id, b * {DAY_MS} AS bucket, greatest(a, b * {DAY_MS}) AS a, least(z, (b + 1) * {DAY_MS}) AS z, price FROM (SELECT *, unnest(range(a // {DAY_MS}, (z - 1) // {DAY_MS} + 1)) AS b FROM {name}_i WHERE z > a))"
     )
 
 
-def _segs(legs: dict[str, tuple[str, str]]) -> str:
-    ivs = ",".join(_iv(n, k) for n, (k, _) in legs.items())
+def _segs(legs: dict[str, tuple[str, str]], extra: str = "") -> str:
+    ivs = ",".join(_iv(n, k, extra) for n, (k, _) in legs.items())
     pts = " UNION ".join(f"SELECT key, bucket, unnest([bucket, bucket + {DAY_MS}, a, z]) AS t FROM {n}_p" for n in legs)
     vals = "".join(f", {n}_v AS (SELECT s.key, s.bucket, s.t0, {w}(price) AS {n} FROM sg s JOIN {n}_p p ON p.key = s.key AND p.bucket = s.bucket AND p.a <= s.t0 AND p.z > s.t0 GROUP BY ALL)" for n, (_, w) in legs.items())
     joins = " ".join(f"LEFT JOIN {n}_v USING (key, bucket, t0)" for n in legs)
     return f"{ivs}, pt AS ({pts}), sg AS (SELECT * FROM (SELECT key, bucket, t AS t0, lead(t) OVER (PARTITION BY key, bucket ORDER BY t) AS t1 FROM pt) WHERE t1 IS NOT NULL){vals}, seg AS (SELECT key, bucket, t0, t1, {', '.join(legs)} FROM sg {joins})"
 
 
-def _series_sql(kind: str, want: str) -> str:
-    return f"""WITH {_segs({"best": (kind, want)})},
+def series_sql(kind: str, want: str, extra: str = "") -> str:
+    return f"""WITH {_segs({"best": (kind, want)}, extra)},
 w AS (SELECT key, bucket, best AS v, sum(t1 - t0) AS w FROM seg WHERE best IS NOT NULL GROUP BY ALL),
 c AS (SELECT *, sum(w) OVER (PARTITION BY key, bucket ORDER BY v) AS cum, sum(w) OVER (PARTITION BY key, bucket) AS tot FROM w),
 q AS (SELECT key, bucket, min(v) FILTER (cum >= 0.5 * tot) AS median, min(v) FILTER (cum >= 0.1 * tot - 1e-6) AS p10, min(v) FILTER (cum >= 0.9 * tot - 1e-6) AS p90, max(tot) AS tot FROM c GROUP BY ALL),
@@ -162,12 +162,12 @@ QUERIES = {
         " q AS (SELECT order_hash, count(*) AS n FROM k GROUP BY 1)"
         " SELECT order_hash, coalesce(q.n, 0) + nk AS kept, t.n - coalesce(q.n, 0) - nk AS merged, nk AS undedupable, a AS deliveries_a, b AS deliveries_b, coalesce(u, 0) AS disagreements FROM t LEFT JOIN q USING (order_hash) LEFT JOIN u USING (order_hash)",
     ),
-    "standing_ask": (standing_ask, _series_sql("item_listed", "min")),
-    "standing_bid": (standing_bid, _series_sql("collection_offer", "max")),
+    "standing_ask": (standing_ask, series_sql("item_listed", "min")),
+    "standing_bid": (standing_bid, series_sql("collection_offer", "max")),
     "standing_spread": (spread, _SPREAD + "SELECT * FROM r"),
     "spread_segments": (
         spread_segments,
-        f"WITH {_segs({'ask': ('item_listed', 'min'), 'bid': ('collection_offer', 'max')})} SELECT * FROM seg WHERE key IN ('ember-beetles', 'cobalt-keepers') AND (ask IS NOT NULL OR bid IS NOT NULL)",
+        f"WITH {_segs({'ask': ('item_listed', 'min'), 'bid': ('collection_offer', 'max')})} SELECT * FROM seg WHERE ask IS NOT NULL OR bid IS NOT NULL",
     ),
     "crossed_book": (crossed_book, _SPREAD + "SELECT key, count(*) AS buckets, CAST(sum(crossed) AS BIGINT) AS crossed, min(spread) AS tightest FROM r GROUP BY key"),
     "trait_set_bid": (
