@@ -150,8 +150,9 @@ def bootstrap_band(obs: DataFrame, keys: list[str], cluster: list[str], grid: li
     name = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*keys, *cluster]])
     u = F.shiftrightunsigned(F.xxhash64(name, F.lit(seed), F.col("b")), 11) / F.lit(float(1 << 53))
     cdf = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1))) for k in range(12)])
-    times = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cdf]), lambda c: c <= u))
-    drawn = by.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("m", times).filter("m > 0")
+    at = by.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", u)
+    times = sum(((F.col("u") >= float(x)).cast("int") for x in cdf[1:]), (F.col("u") >= float(cdf[0])).cast("int"))
+    drawn = at.withColumn("m", times).filter("m > 0")
     counts = drawn.groupBy(*keys, "b", "slot").agg(F.sum(F.col("n") * F.col("m")).alias("n"), F.sum(F.col("d") * F.col("m")).alias("d"))
     later = W.partitionBy(*keys, "b").orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, 0)
     upto = W.partitionBy(*keys, "b").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)

@@ -79,7 +79,7 @@ def screener(spark: SparkSession, d: str) -> DataFrame:
     sold = table(spark, d, "market_events").filter("event_type = 'item_sold' and price_eth is not null and not isnan(price_eth) and valid_ts is not null")
     last = sold.groupBy(*TOKEN).agg(F.max(F.struct("valid_ts", "price_eth")).alias("s")).select(*TOKEN, F.col("s.price_eth").alias("last_sale"))
     season = table(spark, d, "traits").filter("trait_type = 'Season'").groupBy(*TOKEN).agg(F.min("value").alias("season"))
-    rows = table(spark, d, "tokens").filter("collection = 'juniper-keepers-1000'").select(*TOKEN).join(_books(spark, d), TOKEN, "left").join(last, TOKEN, "left").join(season, TOKEN, "left")
+    rows = table(spark, d, "tokens").filter("collection = 'ember-beetles'").select(*TOKEN).join(_books(spark, d), TOKEN, "left").join(last, TOKEN, "left").join(season, TOKEN, "left")
     number = token_number(F.col("token_id"))
     order = [F.col("floor").isNull(), F.col("floor"), number.isNull(), number, F.lower("token_id"), F.col("token_id")]
     return rows.orderBy(*order).offset(10).limit(25)
@@ -146,7 +146,7 @@ SELECT order_hash, collection, verdict, CASE WHEN verdict = 'partial' THEN overl
         screener,
         f"WITH {_BOOKS}, l AS (SELECT collection, token_id, arg_max(price_eth, struct_pack(a := valid_ts, b := price_eth)) AS last_sale FROM market_events WHERE event_type = 'item_sold' AND price_eth IS NOT NULL AND NOT isnan(price_eth) AND valid_ts IS NOT NULL GROUP BY ALL),"
         " s AS (SELECT collection, token_id, min(value) AS season FROM traits WHERE trait_type = 'Season' GROUP BY ALL)"
-        f" SELECT collection, token_id, floor, best_bid, last_sale, season FROM (SELECT collection, token_id FROM tokens WHERE collection = 'juniper-keepers-1000') LEFT JOIN b USING (collection, token_id) LEFT JOIN l USING (collection, token_id) LEFT JOIN s USING (collection, token_id)"
+        f" SELECT collection, token_id, floor, best_bid, last_sale, season FROM (SELECT collection, token_id FROM tokens WHERE collection = 'ember-beetles') LEFT JOIN b USING (collection, token_id) LEFT JOIN l USING (collection, token_id) LEFT JOIN s USING (collection, token_id)"
         f" ORDER BY floor IS NULL, floor, ({_NUM}) IS NULL, ({_NUM}), lower(token_id), token_id LIMIT 25 OFFSET 10",
     ),
     "import_reconcile": (

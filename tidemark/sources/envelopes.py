@@ -2,7 +2,7 @@
 
 Envelope: ``{_seq, _run, _recv, _topic, _ets, raw}``; ``raw`` is JSON text, a
 map ``{topic, event, payload, ref}`` or an array ``[join_ref, ref, topic, event,
-payload]``. Parsing is by variant expressions, without any Python per row.
+payload]``. Parsing is by JSON expressions with fixed schemas, without any Python per row.
 """
 
 from __future__ import annotations
@@ -22,8 +22,14 @@ EVENT_TYPES = (
 KEY_FIELDS = ["event_type", "order_hash", "event_timestamp", "tx_hash", "contract", "token_id", "maker", "price_wei", "quantity"]
 
 
-def _get(v: Column, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(v, path, kind)
+_CRITERION = "struct<trait_type:string,trait_name:string,value:string,trait_value:string>"
+_ADDRESS = "struct<address:string>"
+#: The payload fields that are read; anything else is ignored, the raw text stays in the landing zone.
+PAYLOAD = (
+    "event_timestamp string, collection struct<slug:string>, chain string, item struct<nft_id:string,chain:struct<name:string>>, order_hash string,"
+    f" maker {_ADDRESS}, taker {_ADDRESS}, from_account {_ADDRESS}, to_account {_ADDRESS}, base_price string, sale_price string, payment_token struct<symbol:string>, quantity bigint,"
+    f" expiration_date string, `transaction` struct<hash:string>, trait_criteria {_CRITERION}, trait_criteria_list array<{_CRITERION}>, numeric_trait_criteria_list array<struct<trait_type:string,min:double,max:double>>"
+)
 
 
 def dedup_key(event_timestamp: Column, fields: list[Column]) -> Column:
@@ -34,41 +40,43 @@ def dedup_key(event_timestamp: Column, fields: list[Column]) -> Column:
 
 def criteria(p: Column) -> Column:
     """The AND-list of a trait offer: array of (idx, kind, trait_type, value, num_min, num_max); a list wins over a single one, unreadable ones give no entry."""
-    text = "array<struct<trait_type:string,trait_name:string,value:string,trait_value:string>>"
-    number = "array<struct<trait_type:string,min:double,max:double>>"
-    many = F.try_variant_get(p, "$.trait_criteria_list", text)
-    one = F.array(F.try_variant_get(p, "$.trait_criteria", text[6:-1]))
-    strings = F.transform(F.coalesce(many, F.filter(one, lambda c: c.isNotNull()), F.array().cast(text)), lambda c: F.struct(
-        F.lit("string").alias("kind"), F.coalesce(c["trait_type"], c["trait_name"]).alias("trait_type"), F.coalesce(c["value"], c["trait_value"]).alias("value"), F.lit(None).cast("double").alias("num_min"), F.lit(None).cast("double").alias("num_max")))
-    numbers = F.transform(F.coalesce(F.try_variant_get(p, "$.numeric_trait_criteria_list", number), F.array().cast(number)), lambda c: F.struct(
-        F.lit("numeric").alias("kind"), c["trait_type"].alias("trait_type"), F.lit(None).cast("string").alias("value"), c["min"].alias("num_min"), c["max"].alias("num_max")))
-    readable = F.filter(F.concat(strings, numbers), lambda c: c["trait_type"].isNotNull() & ((c["kind"] == "numeric") | c["value"].isNotNull()))
+    no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    single = F.when(p["trait_criteria"].isNotNull(), F.array(p["trait_criteria"]))
+    named = lambda c: F.coalesce(c["trait_type"], c["trait_name"])
+    strings = F.transform(F.coalesce(p["trait_criteria_list"], single), lambda c: F.struct(F.lit("string").alias("kind"), named(c).alias("trait_type"), F.coalesce(c["value"], c["trait_value"]).alias("value"), no_number.alias("num_min"), no_number.alias("num_max")))
+    numbers = F.transform(p["numeric_trait_criteria_list"], lambda c: F.struct(F.lit("numeric").alias("kind"), c["trait_type"].alias("trait_type"), no_text.alias("value"), c["min"].alias("num_min"), c["max"].alias("num_max")))
+    none = F.array().cast("array<struct<kind:string,trait_type:string,value:string,num_min:double,num_max:double>>")
+    readable = F.filter(F.concat(F.coalesce(strings, none), F.coalesce(numbers, none)), lambda c: c["trait_type"].isNotNull() & ((c["kind"] == "numeric") | c["value"].isNotNull()))
     return F.transform(readable, lambda c, i: F.struct(i.alias("idx"), *[c[f].alias(f) for f in ("kind", "trait_type", "value", "num_min", "num_max")]))
 
 
 def split_frames(envelopes: DataFrame) -> DataFrame:
-    """Envelopes with the frame's ``event`` and ``payload`` (variant), control frames left out; unreadable ones keep nulls."""
-    v = F.try_parse_json("raw")
-    frames = envelopes.filter(F.coalesce("_topic", F.lit("")) != CONTROL).withColumn("__v", v)
-    event = F.coalesce(_get(F.col("__v"), "$[3]"), _get(F.col("__v"), "$.event"))
-    outer = F.coalesce(_get(F.col("__v"), "$[4]", "variant"), _get(F.col("__v"), "$.payload", "variant"))
-    inner = _get(outer, "$.payload", "variant")
-    return frames.select(*envelopes.columns, event.alias("event"), outer.alias("outer"), F.coalesce(F.when(F.is_variant_null(inner), None).otherwise(inner), outer).alias("payload"))
+    """Envelopes with the frame's ``event``, ``sent_at`` and ``payload`` (JSON text), control frames left out; unreadable ones keep nulls."""
+    frames = envelopes.filter(F.coalesce("_topic", F.lit("")) != CONTROL)
+    array = F.startswith(F.ltrim("raw"), F.lit("["))
+    read = frames.select(*envelopes.columns, F.when(array, F.from_json("raw", "array<string>")).alias("__a"), F.when(~array, F.from_json("raw", "event string, payload string")).alias("__m"))
+    outer = read.select(*envelopes.columns, F.coalesce(F.get("__a", 3), F.col("__m.event")).alias("event"), F.coalesce(F.get("__a", 4), F.col("__m.payload")).alias("__o"))
+    opened = outer.withColumn("__p", F.from_json("__o", "sent_at string, payload string"))
+    is_object = lambda c: F.startswith(F.ltrim(c), F.lit("{"))
+    payload = F.when(is_object(F.col("__p.payload")), F.col("__p.payload")).when(is_object(F.col("__o")), F.col("__o"))
+    return opened.select(*envelopes.columns, "event", F.col("__p.sent_at").alias("sent_at"), payload.alias("payload"))
 
 
 def parse_envelopes(envelopes: DataFrame) -> DataFrame:
     """One event row per readable market frame; the rest is in :func:`unparsed`."""
-    p = F.col("payload")
-    nft = F.split(_get(p, "$.item.nft_id"), "/")
-    stamp = _get(p, "$.event_timestamp")
-    rows = split_frames(envelopes).filter(F.col("event").isin(*EVENT_TYPES) & p.isNotNull())
-    out = rows.select(
-        F.col("_run").alias("run"), F.col("_seq").alias("seq"), F.col("_recv").alias("observed_at"), F.coalesce(stamp, _get(F.col("outer"), "$.sent_at")).alias("valid_at"), stamp.alias("event_timestamp"),
-        F.col("event").alias("event_type"), _get(p, "$.collection.slug").alias("collection"), F.coalesce(_get(p, "$.chain"), _get(p, "$.item.chain.name")).alias("chain"),
-        F.get(nft, 1).alias("contract"), F.get(nft, 2).alias("token_id"), _get(p, "$.order_hash").alias("order_hash"),
-        F.coalesce(_get(p, "$.maker.address"), _get(p, "$.from_account.address")).alias("maker"), F.coalesce(_get(p, "$.taker.address"), _get(p, "$.to_account.address")).alias("taker"),
-        F.coalesce(_get(p, "$.base_price"), _get(p, "$.sale_price")).alias("price_wei"), _get(p, "$.payment_token.symbol").alias("payment_symbol"), _get(p, "$.quantity", "bigint").alias("quantity"),
-        _get(p, "$.expiration_date").alias("expiration_at"), _get(p, "$.transaction.hash").alias("tx_hash"), criteria(p).alias("criteria"),
+    # the choice of rows is a generator and no filter: a filter would be pushed below the parsing and repeat all of it
+    market = F.col("event").isin(*EVENT_TYPES) & F.col("payload").isNotNull()
+    rows = split_frames(envelopes).select("_run", "_seq", "_recv", "event", "sent_at", F.explode(F.when(market, F.array("payload"))).alias("payload"))
+    read = rows.select("_run", "_seq", "_recv", "event", "sent_at", F.from_json("payload", PAYLOAD).alias("p"))
+    p = F.col("p")
+    nft = F.split(p["item"]["nft_id"], "/")
+    out = read.select(
+        F.col("_run").alias("run"), F.col("_seq").alias("seq"), F.col("_recv").alias("observed_at"), F.coalesce(p["event_timestamp"], "sent_at").alias("valid_at"), p["event_timestamp"].alias("event_timestamp"),
+        F.col("event").alias("event_type"), p["collection"]["slug"].alias("collection"), F.coalesce(p["chain"], p["item"]["chain"]["name"]).alias("chain"),
+        F.get(nft, 1).alias("contract"), F.get(nft, 2).alias("token_id"), p["order_hash"].alias("order_hash"),
+        F.coalesce(p["maker"]["address"], p["from_account"]["address"]).alias("maker"), F.coalesce(p["taker"]["address"], p["to_account"]["address"]).alias("taker"),
+        F.coalesce(p["base_price"], p["sale_price"]).alias("price_wei"), p["payment_token"]["symbol"].alias("payment_symbol"), p["quantity"].alias("quantity"),
+        p["expiration_date"].alias("expiration_at"), p["transaction"]["hash"].alias("tx_hash"), criteria(p).alias("criteria"),
     )
     timed = out.withColumns({"observed_ts": seconds(F.col("observed_at")), "valid_ts": seconds(F.col("valid_at")), "expiration_ts": seconds(F.col("expiration_at"))})
     return timed.withColumn("dedup_key", dedup_key(F.col("event_timestamp"), [F.col(f) for f in KEY_FIELDS]))
