@@ -38,8 +38,6 @@ def test_leaks_brute_force(seed):
         a = rnd.randrange(max(1, len(items[k]) - n + 1))
         part = items[k][a : a + n]
         texts.append(" ".join(passage(rnd, 30)) + " " + disguise(rnd, part) + " " + " ".join(passage(rnd, 30)))
-        plain = [w for w in texts[-1].split()]
-        del plain
         if len(part) >= 12:
             want.add((d, k))
     got = set(leaked(index, texts))
