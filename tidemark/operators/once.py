@@ -46,7 +46,7 @@ class SeenBitmaps:
         new = batch.select(F.col(self.text_id).alias("__text")).filter("__text is not null").distinct().join(old, "__text", "left_anti")
         at = self.store.folder("codes")
         old.unionByName(new.select("__text", (F.monotonically_increasing_id() + F.lit(base + 1)).alias("__code"))).write.mode("overwrite").parquet(at)
-        return at, self.spark.read.parquet(at)
+        return at, self.spark.read.schema(old.schema).parquet(at)
 
     def apply(self, batch: DataFrame, batch_id: str, order: list[str]) -> DataFrame:
         """The batch's rows with flags: __seen (an earlier batch has it), __copy (rank in this batch), __accepted."""
@@ -67,8 +67,9 @@ class SeenBitmaps:
         ranked = marked.withColumn(COPY, F.row_number().over(one)).withColumn(ACCEPTED, ~F.col(SEEN) & (F.col(COPY) == 1))
         nameless = keyed.filter("__code is null").withColumns({"__bucket": F.lit(None).cast("bigint"), "__pos": F.lit(None).cast("bigint"), SEEN: F.lit(False), COPY: F.lit(1), ACCEPTED: F.lit(True)})
         result_at, bits_at = self.store.folder("result"), self.store.folder("bits")
-        ranked.unionByName(nameless).write.mode("overwrite").parquet(result_at)
-        result = self.spark.read.parquet(result_at)
+        flagged = ranked.unionByName(nameless)
+        flagged.write.mode("overwrite").parquet(result_at)
+        result = self.spark.read.schema(flagged.schema).parquet(result_at)
         fresh = result.filter(f"{ACCEPTED} and __code is not null").groupBy(*shard).agg(F.bitmap_construct_agg("__pos").alias("__bits"))
         bits.unionByName(fresh).groupBy(*shard).agg(F.bitmap_or_agg("__bits").alias("__bits")).write.mode("overwrite").option("compression", "zstd").parquet(bits_at)
         self.store.commit(batch_id, {"codes": codes_at, "bits": bits_at, f"result:{batch_id}": result_at})

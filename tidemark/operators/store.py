@@ -31,8 +31,8 @@ class VersionedStore:
     def read(self, name: str, schema: str | None = None) -> DataFrame | None:
         """A part as of the last commit; empty (with a schema) or None if there is none."""
         folders = self.state()["parts"].get(name)
-        if folders:
-            return self.spark.read.parquet(*folders)
+        if folders:  # a given schema saves the job that reads one from the files
+            return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(*folders)
         return self.spark.createDataFrame([], schema) if schema else None
 
     def done(self, batch_id: str) -> bool:
