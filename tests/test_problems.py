@@ -120,6 +120,37 @@ def test_wide_conflicts_and_versions(spark, tmp_path):
     assert wide_delta(rows.limit(0), types, e, "trait_type", "value").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("kind", "versions"),
+    [("int", [9, 10, 11]), ("bigint", [-10, -9, 0]), ("double", [5.0, 1e10, 1e20]), ("decimal(20,2)", ["9", "10.5", "11"]), ("date", ["2023-12-31", "2024-01-01", "2024-01-02"])],
+)
+def test_wide_versions_in_their_own_type(spark, kind, versions):
+    e, types = ["collection", "token_id"], spark.createDataFrame(TYPES, "trait_type string, value_type string")
+    for order in ([0, 1, 2], [1, 2, 0]):
+        store = WideStore(spark, work_folder(spark, "w"), types, e, fan_out=2)
+        store.upsert(spark.createDataFrame([("c", "2", "Hull", "Old")], "collection string, token_id string, trait_type string, value string"), "plain", "trait_type", "value")
+        for i in order:
+            rows = [("c", "1", "Hull", f"at {i}", versions[i]), ("c", "1", "Level", str(i), versions[i])] + [("c", "2", "Hull", "New", versions[i])] * (i == 0)
+            df = spark.createDataFrame([(*r[:4], str(r[4])) for r in rows], "collection string, token_id string, trait_type string, value string, v string")
+            store.upsert(df.withColumn("v", F.col("v").cast(kind)), f"b{i}", "trait_type", "value", "v")
+        store.compact()
+        assert len(store._runs()) == 1
+        out = {r["token_id"]: r for r in wide_table(store.read(), declared(types), e).collect()}
+        assert (out["1"]["hull"], out["1"]["level"], out["1"]["unclear"]) == ("at 2", 2.0, "") and out["2"]["hull"] == "New"
+
+
+def test_wide_refuses_other_version_types(spark):
+    types = spark.createDataFrame(TYPES, "trait_type string, value_type string")
+    store = WideStore(spark, work_folder(spark, "w"), types, ["token_id"])
+    batch = lambda v, kind: spark.createDataFrame([("1", "Hull", "Oak")], "token_id string, trait_type string, value string").withColumn("v", F.lit(v).cast(kind))
+    store.upsert(batch(9, "int"), "b0", "trait_type", "value", "v")
+    store.upsert(batch(10, "bigint"), "b1", "trait_type", "value", "v")
+    for v, kind in (("10", "string"), (10, "double"), (True, "boolean")):
+        with pytest.raises(ValueError):
+            store.upsert(batch(v, kind), "b2", "trait_type", "value", "v")
+    assert len(store._runs()) == 2 and store.read().count() == 1
+
+
 # 4 ------------------------------------------------------------------------------------------------
 def brute_periods(rows):
     blind, clear = set(), set()

@@ -9,8 +9,11 @@ no value is chosen silently.
 
 Defined cases: rows with a null entity column, attribute or an attribute that
 isn't declared take no part; a null or empty value is unreadable; repeated rows
-change nothing; an empty table gives an empty result; a null version is older
-than any other; columns that aren't named are left out.
+change nothing; an empty table gives an empty result; columns that aren't named
+are left out. Versions keep their own type and compare as it does: integers (as
+bigint), floats (as double, NaN counts as null), decimals, dates, timestamps, or
+texts (as text: '9' is later than '10'). All versions of a store are of one type,
+others are refused; a null version, or a batch without one, is older than any.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ from tidemark.operators.store import VersionedStore
 #: Declared attributes at most (they become columns, and the list is broadcast).
 MAX_ATTRIBUTES = 5_000
 
+#: Types a version may have besides decimals, and how they are kept.
+_VERSIONS = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double", "date": "date", "timestamp": "timestamp", "timestamp_ntz": "timestamp_ntz", "string": "string"}
+
 _CAST = {"number": "double", "boolean": "boolean", "date": "date", "text": "string"}
 
 
@@ -36,33 +42,52 @@ def declared(types: DataFrame) -> list[tuple[str, str]]:
     return [(r[0], r[1]) for r in rows]
 
 
-def _fold(cells: DataFrame, entity: list[str], versioned: bool = True) -> DataFrame:
-    """One row per entity from rows of entity, __attr, __ver, __lo, __hi, __bad: per cell the latest version, whole."""
+def _fold(cells: DataFrame, entity: list[str]) -> DataFrame:
+    """One row per entity from rows of entity, __attr, __lo, __hi, __bad and perhaps __ver: per cell the latest version, whole."""
     by = [*entity, "__attr"]
     state = [F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.max("__bad").alias("__bad")]
-    if versioned:
+    if "__ver" in cells.columns:
         latest = cells.groupBy(*by, "__ver").agg(*state).groupBy(*by).agg(F.max(F.struct("__ver", "__lo", "__hi", "__bad")).alias("__cell"))
     else:
-        latest = cells.groupBy(*by).agg(*state).select(*by, F.struct(F.lit(None).cast("string").alias("__ver"), "__lo", "__hi", "__bad").alias("__cell"))
+        latest = cells.groupBy(*by).agg(*state).select(*by, F.struct("__lo", "__hi", "__bad").alias("__cell"))
     return latest.groupBy(*entity).agg(F.map_from_entries(F.collect_list(F.struct("__attr", "__cell"))).alias("cells"))
 
 
+def _version(rows: DataFrame, version: str) -> Column:
+    """The version column in the type it is kept in."""
+    kind = dict(rows.select(F.col(version).alias("v")).dtypes)["v"]
+    kept = kind if kind.startswith("decimal(") else _VERSIONS.get(kind)
+    if kept is None:
+        raise ValueError(f"a version can't be of type {kind}")
+    c = F.col(version).cast(kept)
+    return F.nanvl(c, F.lit(None).cast("double")) if kept == "double" else c
+
+
+def _one_version_type(runs: list[DataFrame]) -> None:
+    """Refuse runs whose versions don't compare; those without versions go with any."""
+    cells = [r.schema["cells"].dataType.valueType for r in runs]
+    kinds = {c["__ver"].dataType.simpleString() for c in cells if "__ver" in c.names}
+    if len(kinds) > 1:
+        raise ValueError(f"versions of several types: {', '.join(sorted(kinds))}")
+
+
 def wide_delta(rows: DataFrame, types: DataFrame, entity: list[str], attribute: str, value: str, version: str | None = None) -> DataFrame:
     """A batch as a sparse wide delta: one row per entity with its map of cells."""
     kinds = rows.sparkSession.createDataFrame(declared(types), "__attr string, __kind string").withColumn("__name", attribute_key(F.col("__attr")))
-    ver = F.col(version).cast("string") if version else F.lit(None).cast("string")
-    slim = rows.select(*entity, attribute_key(F.col(attribute)).alias("__name"), strip_blanks(F.col(value)).alias("__value"), ver.alias("__ver"))
+    ver = [_version(rows, version).alias("__ver")] if version else []
+    slim = rows.select(*entity, attribute_key(F.col(attribute)).alias("__name"), strip_blanks(F.col(value)).alias("__value"), *ver)
     named = reduce(lambda d, c: d.filter(F.col(c).isNotNull()), entity, slim).join(F.broadcast(kinds), "__name")
-    read = named.select(*entity, "__attr", "__ver", typed_text(F.col("__value"), F.col("__kind")).alias("__lo"))
-    return _fold(read.select("*", F.col("__lo").alias("__hi"), F.col("__lo").isNull().alias("__bad")), entity, version is not None)
+    read = named.select(*entity, "__attr", *(["__ver"] if version else []), typed_text(F.col("__value"), F.col("__kind")).alias("__lo"))
+    return _fold(read.select("*", F.col("__lo").alias("__hi"), F.col("__lo").isNull().alias("__bad")), entity)
 
 
 def compact(runs: list[DataFrame], entity: list[str]) -> DataFrame:
     """Several runs as one, by latest version per cell."""
     if len(runs) == 1:
         return runs[0]
+    _one_version_type(runs)
     flat = [r.select(*entity, F.explode("cells").alias("__attr", "__cell")).select(*entity, "__attr", "__cell.*") for r in runs]
-    return _fold(reduce(DataFrame.unionByName, flat), entity)
+    return _fold(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), flat), entity)
 
 
 class WideStore:
@@ -75,7 +100,10 @@ class WideStore:
         if self.store.done(batch_id):
             return
         at = self.store.folder("run")
-        self._write(wide_delta(rows, self.types, self.entity, attribute, value, version), at)
+        delta = wide_delta(rows, self.types, self.entity, attribute, value, version)
+        if version:  # a batch of another version type mustn't get into the store
+            _one_version_type([*self._read_runs(), delta])
+        self._write(delta, at)
         self.store.commit(batch_id, {}, {"runs": at})
         if len(self._runs()) > self.fan_out:
             self.compact()
@@ -89,11 +117,14 @@ class WideStore:
 
     def read(self) -> DataFrame:
         """One row per entity with its map of cells."""
-        return compact([self.spark.read.parquet(r) for r in self._runs()], self.entity)
+        return compact(self._read_runs(), self.entity)
 
     def _runs(self) -> list[str]:
         return self.store.state()["parts"].get("runs", [])
 
+    def _read_runs(self) -> list[DataFrame]:
+        return [self.spark.read.parquet(r) for r in self._runs()]
+
     def _write(self, wide: DataFrame, at: str) -> None:
         wide.sortWithinPartitions(*self.entity).write.mode("overwrite").parquet(at)
 
