@@ -151,6 +151,15 @@ def test_wide_refuses_other_version_types(spark):
     assert len(store._runs()) == 2 and store.read().count() == 1
 
 
+def test_wide_query_goes_through_compaction(spark, sf):
+    from tidemark.plans.p3_wide import BATCHES, _store
+
+    store = _store(spark, sf)
+    done = store.store.state()["batches"]
+    assert BATCHES > 1 and len(done) == BATCHES + 1 and done[-1].startswith("compaction-") and len(store._runs()) == 1
+    assert store.read().schema["cells"].dataType.valueType["__ver"].dataType.simpleString() == "bigint"
+
+
 # 4 ------------------------------------------------------------------------------------------------
 def brute_periods(rows):
     blind, clear = set(), set()

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.wide import WideStore, declared, unclear_cells, wide_table
 from tidemark.session import table, work_folder
 
 TOKEN = ["collection", "token_id"]
+BATCHES = 3
+
+
+def _store(spark: SparkSession, d: str) -> WideStore:
+    """The table in batches by a hash of whole rows, so that a cell's rows come in several; all are of one version, as the table has none."""
+    store = WideStore(spark, work_folder(spark, "wide"), table(spark, d, "trait_types"), TOKEN, fan_out=BATCHES - 1)
+    rows = table(spark, d, "traits").select(*TOKEN, "trait_type", "value").withColumn("version", F.lit(1).cast("bigint"))
+    part = F.pmod(F.xxhash64(*TOKEN, "trait_type", "value"), F.lit(BATCHES))
+    for i in range(BATCHES):  # the last one makes more runs than fan_out and is followed by a compaction
+        store.upsert(rows.filter(part == i), f"{i:06d}", "trait_type", "value", "version")
+    return store
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
-    store = WideStore(spark, work_folder(spark, "wide"), table(spark, d, "trait_types"), TOKEN)
-    store.upsert(table(spark, d, "traits"), "traits", "trait_type", "value")
-    return store.read()
+    return _store(spark, d).read()
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
