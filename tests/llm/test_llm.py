@@ -130,6 +130,26 @@ def test_harmless(text):
     assert not sum(residue(text)[:3])
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "p < 0.05\nPlease enable JavaScript to continue.\nx > 3", "<td>undefined</td>", "The log follows. ValueError: bad input", "好。undefined", "null5", "ündefined",
+        "See <x. Please enable> <b>JavaScript</b> to continue",
+    ],
+)
+def test_prefilter_keeps_notices(text):
+    assert residue(text)[2] >= 1
+
+
+def test_prefilter_is_a_superset(monkeypatch):
+    rnd = random.Random(9)
+    bits = ["Please enable JavaScript to continue", "undefined", "null", "lorem ipsum dolor sit amet consectetur", "asdf qwerty", "ValueError: x", "[object Object]", "the river", "<", ">", "<b>", "</b>", ". ", "! ", "。", "\n", " ", " ", "5", "x"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 9))) for _ in range(4_000)]
+    got = [residue(t) for t in texts]
+    monkeypatch.setattr("tidemark.llm.residue._suspect", lambda _: True)
+    assert got == [residue(t) for t in texts]
+
+
 def test_residue_frame(spark):
     rows = [(1, RESIDUE[0], 1.0), (1, RESIDUE[0], 1.0), (2, CONTENT * 3_000, 1.0), (3, CONTENT * 3_000 + "\n" + RESIDUE[0], 1.0), (4, None, 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, coverage double")

@@ -122,15 +122,20 @@ _TILES = regex.compile(rf"(?:{'|'.join(sorted(set(SYLLABLES), key=len, reverse=T
 
 # Of six words or more with 85 % filler, three successive ones are filler: a text without such a run needs no closer look.
 _RUN = regex.compile(rf"(?: (?:{_TILES.pattern})(?= )){{3}}|(?: (?:{'|'.join(sorted(MASH))})(?= )){{3}}")
-_BARE = regex.compile(rf"(?:^|[.!?…]\s)[^\p{{L}}\n]*(?:{'|'.join(sorted(NOTHING))})\b", regex.M | regex.I)
+_BARE = regex.compile(rf" (?:{'|'.join(sorted(NOTHING))}) ")
 
 
 def _suspect(text: str) -> bool:
-    """Whether any line or sentence of the text can be residue."""
-    if _RAW.search(text) or _BARE.search(text):
+    """Whether any line or sentence of the text can be residue; never False where ``segment_kind`` finds one.
+
+    Without tags the words of a line or sentence are successive words of the
+    text. Tags are stripped from a line or sentence by itself, which can't be
+    told from the whole text, so a text with a ``<`` is always looked at.
+    """
+    if "<" in text or "Error" in text or "Exception" in text or "[object Object]" in text or 'File "' in text:  # the last four: all of _RAW
         return True
-    plain = _plain(_HTML.sub(" ", text) if "<" in text else text)
-    return next(automaton(True).iter(plain), None) is not None or _RUN.search(plain) is not None
+    plain = _plain(text)
+    return next(automaton(True).iter(plain), None) is not None or _BARE.search(plain) is not None or _RUN.search(plain) is not None
 
 
 def _phrases(plain: str) -> tuple[float, bool]:
