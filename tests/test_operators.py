@@ -10,7 +10,7 @@ from tidemark.operators.grid import ZONE, bucket_floor, bucket_grid, bucket_star
 from tidemark.operators.intervals import asof_join, covered_whole, silences, subtract
 from tidemark.operators.ledger import decode_cursor, encode_cursor, keyset, next_cursor, page
 from tidemark.operators.lives import fold_lives
-from tidemark.operators.quality import check_json, cycles, json_schema
+from tidemark.operators.quality import check_json, closure, cycles, json_schema
 from tidemark.operators.simulate import Model, mulberry32, rk4
 from tidemark.operators.standing import segments, standing_series
 from tidemark.operators.survival import CAUSES, episodes, km_curve, rmst
@@ -261,6 +261,24 @@ def test_cycles(spark):
     assert {r["place"] for r in cycles(edges, "c", "p").collect()} == {"a", "b"}
 
 
+def test_closure_of_any_depth(spark):
+    chain = [(i, i + 1) for i in range(100)]
+    ring = [(1_000 + i, 1_000 + (i + 1) % 40) for i in range(40)]
+    edges = spark.createDataFrame([*chain, *ring, (0, 50), (500, 1_000), (None, 1), (1, None)], "c int, p int")
+    got = {(r["child"], r["ancestor"]): r["depth"] for r in closure(edges, "c", "p").collect()}
+    up = {}
+    for c, p in [*chain, *ring, (0, 50), (500, 1_000)]:
+        up.setdefault(c, []).append(p)
+    want = {}
+    for c in up:
+        front, depth = set(up[c]), 1
+        while front:
+            want |= {(c, p): depth for p in front}
+            front, depth = {q for p in front for q in up.get(p, []) if (c, q) not in want}, depth + 1
+    assert got == want and want[(0, 100)] == 51
+    assert {r["place"]: r["message"] for r in cycles(edges, "c", "p").collect()} == {str(c): "40" for c, _ in ring}
+
+
 def test_solver_converges_and_boluses_are_exact():
     import numpy as np
 

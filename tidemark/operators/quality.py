@@ -10,6 +10,8 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.session import cut
+
 SCHEMA = "code string, severity string, place string, message string"
 
 
@@ -71,14 +73,20 @@ def mirror(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> D
     return _findings(both.withColumn("__w", where).filter("__w is not null"), "mirror", F.coalesce(key, "__k"), F.col("__w"))
 
 
-def closure(edges: DataFrame, child: str, parent: str, max_depth: int = 32) -> DataFrame:
-    """Every (child, ancestor, depth) of parent edges; a cycle shows as child = ancestor and ends there."""
-    spark = edges.sparkSession
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).filter("c is not null and p is not null").distinct().createOrReplaceTempView("__edges")
-    return spark.sql(
-        f"WITH RECURSIVE up(child, ancestor, depth) MAX RECURSION LEVEL {max_depth + 1} AS (SELECT c, p, 1 FROM __edges UNION ALL SELECT u.child, e.p, u.depth + 1 FROM up u JOIN __edges e ON e.c = u.ancestor WHERE u.child <> u.ancestor AND u.depth < {max_depth})"
-        " SELECT child, ancestor, min(depth) AS depth FROM up GROUP BY child, ancestor"
-    )
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """Every (child, ancestor, least depth) of parent edges, however deep; a cycle shows as child = ancestor.
+
+    All pairs up to a depth are extended by those of just that depth, which
+    doubles it; when none has that depth, none is deeper.
+    """
+    pairs = cut(edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).filter("child is not null and ancestor is not null").distinct().withColumn("depth", F.lit(1)))
+    reach = 1
+    while not (far := pairs.filter(F.col("depth") == reach)).isEmpty():
+        onward = far.select(F.col("child").alias("__via"), F.col("ancestor").alias("__to"))
+        longer = pairs.join(onward, F.col("ancestor") == F.col("__via")).select("child", F.col("__to").alias("ancestor"), (F.col("depth") + reach).alias("depth"))
+        pairs = cut(pairs.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+        reach *= 2
+    return pairs
 
 
 def cycles(edges: DataFrame, child: str, parent: str) -> DataFrame:
