@@ -78,6 +78,19 @@ def test_capped_poisson():
     assert thresholds(5.0, 3) == [0.0] * 3 and thresholds(0.0, 3) == [] and thresholds(1.0, 0) == []
 
 
+@pytest.mark.parametrize(("mean", "cap"), [(1_000.0, 2_000), (1_990.0, 2_000), (699.0, 2_000), (0.3, 2_000), (760.0, 800)])
+def test_high_rates_are_reached(mean, cap):
+    cuts = thresholds(mean, cap)
+    assert len(cuts) == cap and sum(1.0 - c for c in cuts) == pytest.approx(mean, rel=1e-6)
+
+
+def test_mix_of_a_small_source(spark):
+    sizes = spark.createDataFrame([(f"s{i}", "small", 1) for i in range(50)] + [("b", "big", 99_950)], "doc_id string, source string, n_tokens long")
+    targets = spark.createDataFrame([("small", 0.5, 2_000), ("big", 0.5, 2)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in mix_report(sizes, mix_plan(sizes, targets), "doc_id").collect()}
+    assert got["small"]["mixed_tokens"] == pytest.approx(50_000, rel=0.02) and not got["small"]["short"]
+
+
 def test_mix_shares_and_caps(spark):
     rows = [(i, "big" if i % 10 else "small", "word " * (1 + i % 7), "x") for i in range(6_000)] + [(9_000, "other", "not in the mix", "x"), (9_001, None, "nor this", "x"), (9_002, "small", None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, copies string")

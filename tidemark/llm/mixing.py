@@ -19,6 +19,7 @@ column, which then wins.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,24 +29,33 @@ from tidemark.llm.tokens import RANKS, spread, token_count
 MAX_SOURCES = 10_000
 
 
+def _terms(lam: float, cap: int) -> Iterator[float]:
+    """P(X = k) for X ~ Poisson(lam) and k = 0 .. cap-1, by logarithms, as exp(-lam) is 0 from 746 on."""
+    if lam <= 0:
+        yield from (float(k == 0) for k in range(cap))
+        return
+    log = math.log(lam)
+    yield from (math.exp(k * log - lam - math.lgamma(k + 1)) for k in range(cap))
+
+
 def capped_mean(lam: float, cap: int) -> float:
     """Mean of min(X, cap) for X ~ Poisson(lam)."""
-    p, below, mean = math.exp(-lam), 0.0, 0.0
-    for k in range(cap):
+    below, mean = 0.0, 0.0
+    for k, p in enumerate(_terms(lam, cap)):
         mean += k * p
         below += p
-        p *= lam / (k + 1)
     return mean + cap * max(0.0, 1.0 - below)
 
 
 def poisson_rate(mean: float, cap: int) -> float:
     """The Poisson parameter whose mean after the cut at ``cap`` is ``mean`` (< cap)."""
     lo, hi = 0.0, 1.0
-    while capped_mean(hi, cap) < mean and hi < 700:
+    while capped_mean(hi, cap) < mean:
         hi *= 2
-    hi = min(hi, 700.0)
     for _ in range(100):
         mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
         lo, hi = (mid, hi) if capped_mean(mid, cap) < mean else (lo, mid)
     return hi
 
@@ -56,12 +66,10 @@ def thresholds(mean: float, cap: int) -> list[float]:
         return []
     if mean >= cap:
         return [0.0] * cap
-    lam, out, total = poisson_rate(mean, cap), [], 0.0
-    p = math.exp(-lam)
-    for k in range(cap):
+    out, total = [], 0.0
+    for p in _terms(poisson_rate(mean, cap), cap):
         total += p
         out.append(min(total, 1.0))
-        p *= lam / (k + 1)
     return out
 
 
