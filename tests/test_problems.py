@@ -249,6 +249,12 @@ def test_late_corrections(spark):
     assert value_counts(df.limit(0), "k", "e", "o", "v", 1, 2).count() == 0
 
 
+def test_late_query_merges_several_batches(spark, sf):
+    from tidemark.plans.p6_late import BATCHES, _state
+
+    assert BATCHES > 1 and len(_state(spark, sf).store.state()["batches"]) == BATCHES
+
+
 def test_weighted_median(spark):
     rnd = random.Random(6)
     rows = [(f"g{i % 7}" if i % 3 else "hot", float(rnd.randrange(60)), rnd.randrange(1, 5)) for i in range(900)]
