@@ -232,7 +232,7 @@ def test_streams_equal_batch(spark, tmp_path, sf):
     def parse_for_fold(df):
         return df.withColumns({"conn": F.lit(None).cast("string"), "price_eth": F.col("price_wei").try_cast("double") / 1e18})
 
-    fold = LiveFold(spark, f"file://{tmp_path}/fold", now)
+    fold = LiveFold(spark, f"file://{tmp_path}/fold", lambda: now)
     start(stream(), fold, f"file://{tmp_path}/c1").awaitTermination(120)
     whole = parse_for_fold(parse_envelopes(read_landing(spark, landing).drop("file")))
     once = first_copies(whole, ["run", "seq"], "observed_ts", [c for c in whole.columns if c not in ("run", "seq", "observed_ts")])
@@ -241,12 +241,41 @@ def test_streams_equal_batch(spark, tmp_path, sf):
     assert got == want and len(got) > 10
     roll = HourlyRollup(spark, f"file://{tmp_path}/roll")
     start(stream(), roll, f"file://{tmp_path}/c2").awaitTermination(120)
-    assert sorted(map(str, roll.read().select("collection", "hour", "maker", "event_type", "n").collect())) == sorted(map(str, hourly(whole).select("collection", "hour", "maker", "event_type", "n").collect()))
+    assert sorted(map(str, roll.read().select("collection", "hour", "maker", "event_type", "n").collect())) == sorted(map(str, hourly(once).select("collection", "hour", "maker", "event_type", "n").collect()))
+    assert not fold.refold_if_stale() and sorted(map(str, fold.lives.read("lives").select(*cols).collect())) == want
+    newer = LiveFold(spark, f"file://{tmp_path}/fold", lambda: now, method=2)
+    assert newer.refold_if_stale() and not newer.refold_if_stale() and sorted(map(str, newer.lives.read("lives").select(*cols).collect())) == want
     late = LatePeriods(spark, f"file://{tmp_path}/late", 120_000, 21_600_000)
     start(stream(9), late, f"file://{tmp_path}/c3").awaitTermination(120)
     assert late.counts.read().agg(F.sum("n")).first()[0] == once.filter("collection is not null and valid_ts is not null").count()
 
 
+def test_lives_expire_while_the_fold_runs(spark, tmp_path):
+    clock = [50.0]
+    fold = LiveFold(spark, f"file://{tmp_path}/fold", lambda: clock[0], splits=4)
+    fold(events(spark, [("A", "item_listed", 0.0, 100.0), ("B", "item_listed", 0.0, None)]), 0)
+    reasons = lambda: {r["order_hash"]: r["exit_reason"] for r in fold.lives.read("lives").collect()}
+    assert reasons() == {"A": "censored", "B": "censored"}
+    clock[0] = 200.0
+    fold(events(spark, [("C", "item_listed", 150.0, None)]).withColumn("run", F.lit("s")), 1)
+    assert reasons() == {"A": "expired", "B": "censored", "C": "censored"}
+    fold(events(spark, [("C", "item_listed", 150.0, None)]).withColumn("run", F.lit("s")), 1)  # the same batch again
+    assert reasons() == {"A": "expired", "B": "censored", "C": "censored"} and fold.events.read("events").count() == 3
+
+
+def test_late_stream_takes_the_first_observed_copy(spark, tmp_path):
+    h = 3_600.0
+    rows = lambda x: spark.createDataFrame(x, "run string, seq long, observed_ts double, valid_ts double, collection string, price_eth double")
+    late = LatePeriods(spark, f"file://{tmp_path}/late", 120_000, 21_600_000, splits=4)
+    late(rows([("r", 1, 8 * h, 10.0, "c", 5.0), ("r", 2, h, 20.0, "c", 1.0)]), 0)
+    counts = lambda: sorted((r["round"], r["value"], r["n"]) for r in late.counts.read().collect())
+    assert counts() == [(0, 1.0, 1), (2, 5.0, 1)]
+    late(rows([("r", 1, h, 10.0, "c", 7.0), ("r", 2, 2 * h, 20.0, "c", 9.0)]), 1)  # message 1 was observed earlier by this copy
+    assert counts() == [(0, 1.0, 1), (0, 7.0, 1)]
+    late(rows([("r", 1, 0.5 * h, 10.0, "c", 8.0)]), 2)
+    assert counts() == [(0, 1.0, 1), (0, 8.0, 1)]
+
+
 def test_json_schema(spark):
     schema = {"type": "object", "required": ["id"], "additionalProperties": False, "properties": {"id": {"type": "string", "pattern": "^[a-z]+$"}, "n": {"type": "integer", "minimum": 0}, "t": {"type": "array", "uniqueItems": True, "items": {"enum": [1, True]}}, "u": {"oneOf": [{"type": "string"}, {"type": "number"}]}}, "if": {"required": ["n"]}, "then": {"required": ["t"]}}
     bad = lambda v: sorted(w for _, w, _ in check_json(v, schema, schema))

@@ -23,15 +23,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.ordered import running_total
 from tidemark.operators.store import VersionedStore
+from tidemark.session import remove
 
 HOUR_MS = 3_600_000
 IN_TIME, CORRECTION, REFUSED = 0, 1, 2
 
 
 def first_copies(df: DataFrame, ids: list[str], observed: str, columns: list[str]) -> DataFrame:
-    """One row per identifier, as its first observed copy says. Rows with a null in the identifier are copies of nothing and all stay."""
+    """One row per identifier, as its first observed copy says (a copy without observation only where there is no other). Rows with a null in the identifier are copies of nothing and all stay."""
     named = reduce(lambda c, i: c & F.col(i).isNotNull(), ids, F.lit(True))
-    slim = df.select(*ids, F.struct(F.col(observed).alias("__o"), *columns).alias("__row"))
+    # a null observation comes last, whatever else the copy holds
+    slim = df.select(*ids, F.struct(F.col(observed).isNull().alias("__unseen"), F.col(observed).alias("__o"), *columns).alias("__row"))
     one = slim.filter(named).groupBy(*ids).agg(F.min("__row").alias("__row"))
     return one.unionByName(slim.filter(~named)).select(*ids, F.col("__row.__o").alias(observed), *[F.col(f"__row.{c}").alias(c) for c in columns])
 
@@ -47,23 +49,59 @@ def value_counts(df: DataFrame, key: str, event_ms: str, observed_ms: str, value
 
 
 class PeriodCounts:
-    """The multisets of all periods; a batch is merged in one atomic step."""
+    """The multisets of all periods; a batch is merged in one atomic step that rewrites only the stretches of periods it touches.
+
+    Periods lie in buckets by a hash of the stretch (``STRETCH`` successive
+    periods), so a batch with its few late records touches few of them; ``SPREAD``
+    buckets share a stretch, so that a busy one isn't the work of one task. With a
+    ``closed_before`` mark, periods that end before it are moved out of the open
+    part once; what still comes for them (refused records, or a mark that ran
+    ahead) is added to them on reading, so no record is ever lost. A negative n
+    takes counts back.
+    """
 
     SCHEMA = "key string, period bigint, round int, value double, n bigint"
+    STRETCH, SPREAD = 24, 4
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.store = VersionedStore(spark, path)
+    def __init__(self, spark: SparkSession, path: str, splits: int = 64):
+        """``splits``: buckets; a store keeps the number it began with."""
+        self.store, self.spark, self.splits = VersionedStore(spark, path), spark, splits
 
-    def merge(self, delta: DataFrame, batch_id: str) -> None:
+    def merge(self, delta: DataFrame, batch_id: str, closed_before: int | None = None) -> None:
+        """Add a batch's counts; periods below ``closed_before`` are closed afterwards."""
         if self.store.done(batch_id):
             return
-        at = self.store.folder("counts")
-        both = self.read().unionByName(delta.select(*self.read().columns))
-        both.groupBy("key", "period", "round", "value").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(at)
-        self.store.commit(batch_id, {"counts": at})
+        state = self.store.state()
+        splits = state["meta"].get("splits", self.splits)
+        stretch = F.pmod(F.xxhash64(F.expr(f"period div {self.STRETCH}")), F.lit(max(1, splits // self.SPREAD)))
+        split = (stretch * self.SPREAD + F.pmod(F.xxhash64("key", "value"), F.lit(self.SPREAD))).cast("int")
+        held = state["parts"].get("open", {})
+        closed = max((x for x in (state["meta"].get("closed"), closed_before) if x is not None), default=None)
+        names = self.read().columns
+        written = self.store.write_split(delta.select(*names), "new", split)
+        touched = {int(k) for k in written} | ({int(k) for k in held} if closed != state["meta"].get("closed") else set())
+        added: dict[str, dict[int, str]] = {}
+        if any(str(k) in held for k in touched) or closed is not None:
+            rows = self.store.read("open", self.SCHEMA, sorted(touched))
+            if written:
+                rows = rows.unionByName(self.spark.read.schema(self.SCHEMA).parquet(*written.values()))
+            both = rows.groupBy(split.alias("__by"), "key", "period", "round", "value").agg(F.sum("n").alias("n")).drop("__by").filter("n <> 0")
+            offset = splits + self.SPREAD
+            over = F.lit(False) if closed is None else F.col("period") < closed
+            again = self.store.write_split(both, "open", F.when(over, split + offset).otherwise(split))
+            added["closed"] = {k - offset: at for k, at in again.items() if k >= offset}
+            for at in written.values():
+                remove(self.spark, at)
+            written = {k: again.get(k) for k in touched}
+        self.store.commit(batch_id, {"open": written}, added, {"splits": splits, "closed": closed}, state["version"])
 
     def read(self) -> DataFrame:
-        return self.store.read("counts", self.SCHEMA)
+        """All counts, open and closed."""
+        rows = self.store.read("open", self.SCHEMA)
+        if not self.store.folders("closed"):
+            return rows
+        rows = rows.unionByName(self.store.read("closed", self.SCHEMA))
+        return rows.groupBy("key", "period", "round", "value").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 def weighted_median(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:

@@ -13,8 +13,6 @@ clashing names can't occur.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Heavy keys at most; with 8-byte key hashes the broadcast side stays under 100 KB whatever the data.
@@ -74,12 +72,14 @@ def skew_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str, st
     return _apply(partial, keys, aggs, merge=True).unionByName(_apply(light, keys, aggs, merge=False))
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], share: float = 0.01, per_key: int = 1) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], share: float = 0.01, max_broadcast: int = 100_000, salts: int = 32) -> DataFrame:
     """Inner join on ``keys`` whose left side is dominated by a few keys.
 
-    ``right`` may hold up to ``per_key`` rows for a key (checked for the heavy
-    keys); its rows of heavy keys, at most MAX_HEAVY * per_key, are broadcast,
-    the rest meets by an ordinary shuffle. Null keys don't join.
+    The right side's rows of heavy keys are broadcast if they are at most
+    ``max_broadcast`` (counted first); otherwise the heavy rows of the left side are
+    spread over salts, those of the right side repeated for every salt, and both
+    meet by an ordinary shuffle. The other keys meet by an ordinary shuffle
+    anyway. Null keys don't join; clashing columns of the right side get ``_right``.
     """
     clash = (set(left.columns) & set(right.columns)) - set(keys)
     if clash:
@@ -87,8 +87,9 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], share: float =
     heavy_left, light_left, heavy = split_heavy(left, keys, share)
     hashed = right.withColumn(_KEY, _hash(keys))
     few = hashed.join(F.broadcast(heavy), _KEY, "left_semi").drop(_KEY)
-    limit = MAX_HEAVY * per_key
-    if few.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {per_key} rows a heavy key on the broadcast side")
-    parts = [heavy_left.drop(_KEY).join(F.broadcast(few), keys), light_left.drop(_KEY).join(hashed.join(F.broadcast(heavy), _KEY, "left_anti").drop(_KEY), keys)]
-    return reduce(DataFrame.unionByName, parts)
+    light = light_left.drop(_KEY).join(hashed.join(F.broadcast(heavy), _KEY, "left_anti").drop(_KEY), keys)
+    if few.limit(max_broadcast + 1).count() <= max_broadcast:
+        return heavy_left.drop(_KEY).join(F.broadcast(few), keys).unionByName(light)
+    spread = heavy_left.drop(_KEY).withColumn(_SALT, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = few.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies.hint("merge"), [*keys, _SALT]).drop(_SALT).unionByName(light)

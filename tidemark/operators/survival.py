@@ -21,12 +21,12 @@ MIN_CLUSTERS = 30
 def observations(lives: DataFrame, start: float, end: float, as_of: float) -> DataFrame:
     """Lives placed in [start, end) as seen at ``as_of``: ended, cause and duration; later placements and unknown endings are left out.
 
-    An ending counts only if it had happened by ``as_of``; everything else is censored there.
+    An ending counts only if it had happened by ``as_of``; everything else is censored there. A price that is no number is null.
     """
     placed = lives.filter((F.col("placement_seen") == 1) & (F.col("t_place") >= start) & (F.col("t_place") < end) & (F.col("t_place") <= as_of) & (F.col("exit_reason") != "unknown"))
     ended = F.coalesce(F.col("exit_reason").isin(*CAUSES) & (F.col("t_term") <= as_of), F.lit(False))
     return placed.select(
-        "order_hash", "collection", "event_type", "scope_kind", "token_id", "maker", "price_eth", "t_place", ended.alias("ended"), F.when(ended, F.col("exit_reason")).alias("cause"),
+        "order_hash", "collection", "event_type", "scope_kind", "token_id", "maker", F.when(~F.isnan("price_eth"), F.col("price_eth")).alias("price_eth"), "t_place", ended.alias("ended"), F.when(ended, F.col("exit_reason")).alias("cause"),
         F.round(F.when(ended, F.col("t_term")).otherwise(F.lit(as_of)) - F.col("t_place"), 3).alias("duration"),
     )
 

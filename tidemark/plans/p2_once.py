@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators.once import arrival_batches, deliver_once
+from tidemark.operators.once import arrival_batches, arrival_edges, deliver_once
 from tidemark.session import table, work_folder
 
 BATCHES = 3
 
 
 def _flagged(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    return deliver_once(rows, work_folder(spark, "seen"), "run", "seq", ["observed_ts", "file"], arrival_batches(rows, "observed_ts", BATCHES))
+    return deliver_once(rows, work_folder(spark, "seen"), "run", "seq", ["observed_ts", "file"], arrival_batches(rows, "observed_ts", arrival_edges(rows, "observed_ts", BATCHES)))
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:

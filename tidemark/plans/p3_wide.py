@@ -25,6 +25,16 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
     return _store(spark, d).read()
 
 
+def latest(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of different versions (a row's version is the length of its value modulo 3): later ones replace cells of earlier ones, in whatever order they come."""
+    store = WideStore(spark, work_folder(spark, "wide"), table(spark, d, "trait_types"), TOKEN, fan_out=2)
+    rows = table(spark, d, "traits").select(*TOKEN, "trait_type", "value").withColumn("version", F.pmod(F.coalesce(F.length("value"), F.lit(0)), F.lit(3)))
+    for i, v in enumerate((1, 2, 0)):
+        store.upsert(rows.filter(F.col("version") == v), f"{i:06d}", "trait_type", "value", "version")
+    cells = store.read().select(*TOKEN, F.explode("cells").alias("trait_type", "c"))
+    return cells.select(*TOKEN, "trait_type", F.col("c.__ver").alias("version"), F.when(~F.col("c.__bad") & F.col("c.__lo").eqNullSafe(F.col("c.__hi")), "clear").otherwise("unclear").alias("state"))
+
+
 def found(spark: SparkSession, d: str) -> DataFrame:
     return unclear_cells(_wide(spark, d), TOKEN, "trait_type")
 
@@ -50,10 +60,16 @@ read AS (SELECT *, CASE WHEN v = '' THEN NULL
     WHEN regexp_matches(v, '^[0-9]{{10}}$') THEN CAST(CAST(make_timestamp(CAST(v AS BIGINT) * 1000000) AS DATE) AS VARCHAR) END END AS x FROM r),
 cell AS (SELECT collection, token_id, trait_type, value_type, count(*) = count(x) AND min(x) = max(x) AS single, min(x) AS x FROM read GROUP BY ALL)
 """
+LATEST = CELLS.replace("t.collection, t.token_id, y.trait_type", "t.collection, t.token_id, length(coalesce(t.value, '')) % 3 AS version, y.trait_type")
 _NAMES = [("Aura Score", "DOUBLE"), ("Awakened", "BOOLEAN"), ("Banner", "VARCHAR"), ("Companion", "VARCHAR"), ("Crest", "VARCHAR"), ("Edition Size", "DOUBLE"), ("Forged On", "DATE"), ("Hull", "VARCHAR"), ("Last Voyage", "DATE"), ("Level", "DOUBLE"), ("Rune", "VARCHAR"), ("Season", "VARCHAR"), ("Soul Bound", "BOOLEAN"), ("Weight Kg", "DOUBLE")]
 _COLS = ", ".join(f"CAST(max(CASE WHEN single AND trait_type = '{n}' THEN x END) AS {t}) AS {n.lower().replace(' ', '_')}" for n, t in _NAMES)
 
 QUERIES = {
+    "p3_latest": (
+        latest,
+        LATEST + "SELECT collection, token_id, trait_type, version, CASE WHEN count(*) = count(x) AND min(x) = max(x) THEN 'clear' ELSE 'unclear' END AS state FROM"
+        " (SELECT *, rank() OVER (PARTITION BY collection, token_id, trait_type ORDER BY version DESC) AS k FROM read) WHERE k = 1 GROUP BY ALL",
+    ),
     "p3_found": (found, CELLS + "SELECT collection, token_id, trait_type FROM cell WHERE single IS DISTINCT FROM true"),
     "p3_traits_wide": (
         traits_wide,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.times import duck_us, instant_ms, instant_us
-from tidemark.operators.late import CORRECTION, IN_TIME, PeriodCounts, first_copies, issue, marks, value_counts
-from tidemark.operators.once import arrival_batches
+from tidemark.operators.late import CORRECTION, HOUR_MS, IN_TIME, PeriodCounts, first_copies, issue, marks, value_counts
+from tidemark.operators.once import arrival_batches, arrival_edges
 from tidemark.session import cut, table, work_folder
 
 GRACE_MS, CUTOFF_MS = 120_000, 6 * 3_600_000
@@ -14,15 +14,18 @@ BATCHES = 3
 
 
 def _state(spark: SparkSession, d: str) -> PeriodCounts:
-    """The state after all messages, merged in batches by observed time."""
+    """The state after all messages, merged in batches by observed time; hours past their cut-off are closed on the way."""
     rows = table(spark, d, "market_events")
     seen = F.coalesce(instant_us(F.col("observed_at")), F.round(F.col("observed_ts") * 1e6).cast("bigint"))
     timed = rows.select("run", "seq", seen.alias("o"), "collection", "valid_at", "price_eth")
     once = first_copies(timed, ["run", "seq"], "o", ["collection", "valid_at", "price_eth"])
     ready = once.select("collection", instant_ms(F.col("valid_at")).alias("event_ms"), F.floor(F.col("o") / F.lit(1000)).cast("bigint").alias("observed_ms"), "price_eth")
-    state = PeriodCounts(spark, work_folder(spark, "periods"))
-    for i, batch in enumerate(arrival_batches(cut(ready), "observed_ms", BATCHES)):
-        state.merge(value_counts(batch, "collection", "event_ms", "observed_ms", "price_eth", GRACE_MS, CUTOFF_MS), f"{i:06d}")
+    state, ready = PeriodCounts(spark, work_folder(spark, "periods")), cut(ready)
+    edges = arrival_edges(ready, "observed_ms", BATCHES)
+    for i, batch in enumerate(arrival_batches(ready, "observed_ms", edges)):
+        # when a batch is in, the hours whose cut-off lies before its end take no more corrections
+        closed = int((edges[i] - CUTOFF_MS) // HOUR_MS) if i < len(edges) else None
+        state.merge(value_counts(batch, "collection", "event_ms", "observed_ms", "price_eth", GRACE_MS, CUTOFF_MS), f"{i:06d}", closed)
     return state
 
 

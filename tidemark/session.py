@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -89,8 +90,20 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small text file in one atomic rename."""
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder of the shared file system; none if it isn't there."""
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Length of all files below a folder."""
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def add_text(spark: SparkSession, path: str, text: str, over: bool = False) -> bool:
+    """Add a small text file in one rename; False if it is there already and isn't to be replaced."""
     fs, tmp = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(tmp, True)
     try:
@@ -99,6 +112,13 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
     jvm = spark._jvm
     ctx = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    ctx.rename(tmp, jvm.org.apache.hadoop.fs.Path(path), over)
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE if over else getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+    try:
+        ctx.rename(tmp, jvm.org.apache.hadoop.fs.Path(path), how)
+    except Py4JJavaError as e:
+        fs.delete(tmp, False)
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    return True
