@@ -21,7 +21,8 @@ def con(sf):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 9)
+        assert not math.isnan(v), "a value that is no number leaves a query as null"
+        return round(v, 9)
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 

@@ -1,6 +1,7 @@
 """Reference semantics of the domain operators on hand-made cases and against brute force."""
 
 import math
+import os
 import random
 
 import pytest
@@ -15,7 +16,7 @@ from tidemark.operators.simulate import Model, mulberry32, rk4
 from tidemark.operators.standing import segments, standing_series
 from tidemark.operators.survival import CAUSES, episodes, km_curve, rmst
 from tidemark.operators.tags import parse_filter, parse_token_range
-from tidemark.sources.envelopes import ENVELOPE, order_criteria, parse_envelopes, unparsed
+from tidemark.sources.envelopes import ENVELOPE, frame_counts, order_criteria, parse_envelopes, unparsed
 from tidemark.sources.landing import checksums, files_for_event_range, manifest, read_landing, verify_manifest, write_landing
 from tidemark.streaming.fold import HourlyRollup, LatePeriods, LiveFold, read_envelopes, start
 
@@ -217,6 +218,44 @@ def test_envelopes(spark, tmp_path):
     assert [r["problem"] for r in verify_manifest(spark, path, wrong).collect()] == ["CHECKSUM MISMATCH"]
 
 
+@pytest.mark.parametrize("codec", ["gzip", "none"])
+def test_torn_files_give_what_is_whole(spark, tmp_path, codec):
+    import glob
+
+    df = spark.range(20_000).select(F.col("id").alias("_seq"), F.lit("r").alias("_run"), F.lit("2024-02-01T00:00:10Z").alias("_recv"), F.lit("t").alias("_topic"), F.lit(None).cast("string").alias("_ets"), F.sha2(F.col("id").cast("string"), 256).alias("raw")).coalesce(1)
+    path = f"file://{tmp_path}/landing"
+    write_landing(df, path, codec)
+    recorded = manifest(read_landing(spark, path)).join(checksums(spark, path), "file").withColumn("closed", F.lit(True)).cache()
+    assert recorded.count() == 1 and verify_manifest(spark, path, recorded).count() == 0
+    name = glob.glob(f"{tmp_path}/landing/*/*/*.json*")[0]
+    with open(name, "r+b") as f:
+        f.truncate(os.path.getsize(name) // 2)
+    for crc in glob.glob(f"{tmp_path}/landing/*/*/.*.crc"):
+        os.remove(crc)
+    n = read_landing(spark, path).count()
+    assert 1_000 < n < 19_000
+    assert [r["problem"] for r in verify_manifest(spark, path, recorded).collect()] == ["CHECKSUM MISMATCH" if codec == "none" else "UNREADABLE"]
+    if codec != "none":
+        with pytest.raises(Exception):  # noqa: B017 - whatever the codec throws
+            read_landing(spark, path, tolerant=False).count()
+
+
+def test_token_ids_of_received_bids(spark):
+    import json
+
+    items = lambda *x: [{"itemType": k, "identifierOrCriteria": i, "token": t} for k, i, t in x]
+    payloads = [
+        {"item": {"nft_id": "ethereum/0xa/7"}, "protocol_data": {"parameters": {"consideration": items((2, "9", "0xb"))}}},
+        {"protocol_data": {"parameters": {"consideration": items((1, "0", "0xm"), (2, "9", "0xb")), "offer": items((3, "8", "0xc"))}}},
+        {"item": {"nft_id": "ethereum/0xa"}, "protocol_data": {"parameters": {"consideration": items((1, "5", "0xm")), "offer": items((3, "8", "0xc"))}}},
+        {"asset_contract_criteria": {"address": "0xd"}},
+    ]
+    df = spark.createDataFrame([(i, "r", "2024-02-01T00:00:10Z", "t", "2024-02-01T00:00:0%dZ" % (9 - i if i == 2 else i), json.dumps({"event": "item_received_bid", "payload": {"payload": p}})) for i, p in enumerate(payloads)], ENVELOPE)
+    assert [(r["contract"], r["token_id"]) for r in parse_envelopes(df).orderBy("seq").collect()] == [("0xa", "7"), ("0xb", "9"), ("0xa", "8"), ("0xd", None)]
+    one = frame_counts(df).first()
+    assert (one["frames"], one["events"], one["without_time"], one["controls"], one["out_of_order"]) == (4, 4, 0, 0, 1)
+
+
 def test_streams_equal_batch(spark, tmp_path, sf):
     """Envelopes in several files through the streaming folds give what the batch operators give."""
     from tidemark.operators.late import first_copies, value_counts

@@ -271,26 +271,37 @@ def test_late_batches_equal_one(spark, seed):
         assert sorted(map(str, issue(many.read(), upto).collect())) == sorted(map(str, issue(one.read(), upto).collect()))
 
 
-def test_stores_write_what_changes(spark):
-    """Over 20 batches of new hours, each with a late record, what a batch writes doesn't grow; what is given up goes away."""
+def test_period_counts_write_what_changes(spark):
+    """Over 20 batches of new hours, each with a late record, what a batch writes doesn't grow."""
     from tidemark.session import folder_bytes
 
-    h, path, seen_at, wrote, kept = 3_600_000, work_folder(spark, "t"), work_folder(spark, "t"), [], []
-    state, seen = PeriodCounts(spark, path, splits=16), SeenBitmaps(spark, seen_at, "run", "seq", splits=16)
+    h, path, wrote = 3_600_000, work_folder(spark, "t"), []
+    state = PeriodCounts(spark, path, splits=16)
     for b in range(20):
-        rows = [("c", (b * 24 + i % 24) * h + i, (b * 24 + i % 24) * h + i, float(i), "run", b * 40_000 + i) for i in range(600)] + [("c", max(0, b * 24 - 3) * h, b * 24 * h, -1.0, "run", b * 40_000 + 600)]
-        df = spark.createDataFrame(rows, "k string, e long, o long, v double, run string, seq long").coalesce(1)
-        before = set(state.store.folders("open")) | set(seen.store.folders("bits"))
-        state.merge(value_counts(df, "k", "e", "o", "v", 120_000, 6 * h), f"{b:06d}", b * 24 - 6)
-        seen.apply(df, f"{b:06d}", ["o"])
-        seen.expire([f"{b:06d}"])
-        wrote.append(sum(folder_bytes(spark, f) for f in (set(state.store.folders("open")) | set(seen.store.folders("bits"))) - before))
-        kept.append(folder_bytes(spark, f"{seen_at}/data"))
-    assert max(wrote[10:]) < 2 * max(wrote[2:10]) and max(kept[10:]) < 3 * max(kept[2:10])
-    assert seen.seen_count() == 20 * 601 and state.read().agg(F.sum("n")).first()[0] == 20 * 601
+        rows = [("c", b * 24 + i % 24, 0, float(i), 1) for i in range(600)] + [("c", max(0, b * 24 - 3), 1, -1.0, 1)]
+        before = set(state.store.folders("open"))
+        state.merge(spark.createDataFrame(rows, PeriodCounts.SCHEMA).coalesce(1), f"{b:06d}", b * 24 - 6)
+        wrote.append(sum(folder_bytes(spark, f) for f in set(state.store.folders("open")) - before))
+    assert max(wrote[10:]) < 2 * max(wrote[2:10]) and state.read().agg(F.sum("n")).first()[0] == 20 * 601
     assert len(state.store.state()["parts"]["open"]) <= 16 and PeriodCounts(spark, path).store.done("000003")
 
 
+def test_seen_bitmaps_write_what_changes(spark):
+    """What a batch of new identifiers writes doesn't grow, and what is given up goes away."""
+    from tidemark.session import folder_bytes
+
+    path, wrote, kept = work_folder(spark, "t"), [], []
+    seen = SeenBitmaps(spark, path, "run", "seq", splits=16)
+    for b in range(8):
+        df = spark.range(b * 40_000, b * 40_000 + 600).select(F.lit("run").alias("run"), F.col("id").alias("seq"))
+        before = set(seen.store.folders("bits"))
+        seen.apply(df, f"{b:06d}", ["seq"])
+        seen.expire([f"{b:06d}"])
+        wrote.append(sum(folder_bytes(spark, f) for f in set(seen.store.folders("bits")) - before))
+        kept.append(folder_bytes(spark, f"{path}/data"))
+    assert max(wrote[4:]) < 2 * max(wrote[:4]) and max(kept[4:]) < 3 * max(kept[:4]) and seen.seen_count() == 8 * 600
+
+
 def test_two_writers(spark):
     from tidemark.operators.store import Conflict, VersionedStore
 

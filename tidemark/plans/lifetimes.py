@@ -81,7 +81,7 @@ def band(spark: SparkSession, d: str) -> DataFrame:
     return bootstrap_band(obs(spark, d), ["event_type"], ["maker"], [10.0, 60.0, 300.0, 1_800.0, 7_200.0, 43_200.0, 86_400.0, 604_800.0])
 
 
-_OBS = f"""o AS (SELECT order_hash, collection, event_type, scope_kind, token_id, maker, price_eth, t_place, e AS ended, CASE WHEN e THEN exit_reason END AS cause, round(CASE WHEN e THEN t_term ELSE {AS_OF} END - t_place, 3) AS duration
+_OBS = f"""o AS (SELECT order_hash, collection, event_type, scope_kind, token_id, maker, CASE WHEN NOT isnan(price_eth) THEN price_eth END AS price_eth, t_place, e AS ended, CASE WHEN e THEN exit_reason END AS cause, round(CASE WHEN e THEN t_term ELSE {AS_OF} END - t_place, 3) AS duration
  FROM (SELECT *, coalesce(exit_reason IN {CAUSES} AND t_term <= {AS_OF}, false) AS e FROM order_lives WHERE event_type IS NOT NULL AND placement_seen = 1 AND t_place >= {START} AND t_place < {END} AND t_place <= {AS_OF} AND exit_reason <> 'unknown'))"""
 _KM = f"""WITH {_OBS}, c AS (SELECT event_type, duration AS t, count(*) AS c, count(*) FILTER (ended) AS d, {", ".join(f"count(*) FILTER (cause = '{c}') AS d_{c}" for c in CAUSES)} FROM o GROUP BY ALL),
 r AS (SELECT *, CAST(sum(c) OVER (PARTITION BY event_type ORDER BY t DESC) AS BIGINT) AS n FROM c),

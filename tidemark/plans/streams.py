@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.functions.times import duck_us, instant_us
 from tidemark.operators.intervals import asof_join, covered_whole, silences, subtract
 from tidemark.operators.spans import periods
-from tidemark.session import table
+from tidemark.session import cut, table
 from tidemark.sources.envelopes import parse_envelopes, to_envelopes
 
 NOW, WINDOW = 1_709_251_200.0, 20 * 86_400.0
@@ -95,11 +95,32 @@ def asof_offer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gap_days(spark: SparkSession, d: str) -> DataFrame:
-    """The UTC days each gap touches, 366 at most (both ends are kept)."""
+    """How many gaps touch each UTC day; a gap of any length counts on all its days."""
     day = lambda c: F.to_date(F.timestamp_micros(c))
-    days = _spans(spark, d).select("id", F.sequence(day("from"), day("to")).alias("x"))
-    kept = F.when(F.size("x") <= 366, F.col("x")).otherwise(F.concat(F.slice("x", 1, 183), F.slice("x", -183, 183)))
-    return days.select("id", F.explode(kept).alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("gaps"))
+    spans = _spans(spark, d).select(day("from").alias("lo"), day("to").alias("hi"))
+    # a gap adds one on its first day and takes one off behind its last; a row per day, so the window is bounded by the calendar
+    change = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("n")), F.struct(F.date_add("hi", 1).alias("at"), F.lit(-1).alias("n"))))
+    days = spans.select(change.alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
+    order = W.orderBy("at")
+    steps = days.select("at", F.lead("at").over(order).alias("until"), F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("gaps")).filter("gaps > 0")
+    return steps.select(F.explode(F.sequence("at", F.date_sub("until", 1))).alias("day"), "gaps")
+
+
+def gap_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Which gaps another connection's coverage lets be marked, and which marks it no longer bears: id, label, change."""
+    register = table(spark, d, "gap_register").select("id", F.coalesce("conn_label", F.lit("a")).alias("own"), "covered_by")
+    cover = cut(coverage(spark, d))
+    labels = [r[0] for r in cover.select("c").distinct().orderBy("c").limit(3).collect()]  # the recording connections, a and b
+    spans = _spans(spark, d).select("id", "c", "from", "to")
+    out = None
+    for label in labels:
+        others = spans.filter(F.col("c") != label).select("id", F.lit(label).alias("c"), "from", "to")
+        held = covered_whole(others, cover.filter(F.col("c") == label), "c").select("id", F.lit(True).alias("held"))
+        both = register.filter(F.col("own") != label).join(held, "id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+        change = F.when(F.col("held") & F.col("covered_by").isNull(), "set").when(~F.col("held") & (F.col("covered_by") == label), "revoked")
+        one = both.select("id", F.lit(label).alias("label"), change.alias("change")).filter("change is not null")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def backfill_worklist(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +132,7 @@ def backfill_worklist(spark: SparkSession, d: str) -> DataFrame:
 
 def envelopes(spark: SparkSession, d: str) -> DataFrame:
     """Events written as raw envelopes in both wire shapes and parsed again."""
-    rows = table(spark, d, "market_events").filter("event_type <> 'item_metadata_updated'")
+    rows = table(spark, d, "market_events")
     return parse_envelopes(to_envelopes(rows)).select("run", "seq", "event_type", "collection", "maker", "taker", "price_wei", "quantity", "order_hash")
 
 
@@ -156,6 +177,12 @@ QUERIES = {
     ),
     "interval_subtract": (coverage, f"WITH {_EDGES} SELECT c, f AS \"from\", t AS \"to\" FROM cov"),
     "gap_covered_by": (covered, f"WITH {_EDGES} SELECT id, s AS \"from\", v.t AS \"to\" FROM v WHERE c <> 'a' AND EXISTS (SELECT 1 FROM cov WHERE cov.c = 'a' AND cov.f <= v.s AND cov.t >= v.t)"),
+    "gap_annotations": (
+        gap_annotations,
+        f"WITH {_EDGES}, h AS (SELECT r.id, l.c AS label, r.covered_by, EXISTS (SELECT 1 FROM v, cov WHERE v.id = r.id AND cov.c = l.c AND cov.f <= v.s AND cov.t >= v.t) AS held"
+        " FROM gap_register r, (SELECT DISTINCT c FROM cov) l WHERE coalesce(r.conn_label, 'a') <> l.c)"
+        " SELECT id, label, CASE WHEN held AND covered_by IS NULL THEN 'set' WHEN NOT held AND covered_by = label THEN 'revoked' END AS change FROM h WHERE (held AND covered_by IS NULL) OR (NOT held AND covered_by = label)",
+    ),
     "asof_offer": (
         asof_offer,
         "WITH p AS (SELECT * FROM market_events WHERE price_eth IS NOT NULL AND NOT isnan(price_eth)), s AS (SELECT run, seq, collection, valid_ts, price_eth FROM p WHERE event_type = 'item_sold'),"
@@ -168,6 +195,6 @@ QUERIES = {
         "SELECT id, run_id, CAST(len(backfillable_classes) AS INTEGER) AS classes, array_to_string(list_sort(list_filter(list_distinct(backfillable_classes), lambda x: x IN ('item_listed', 'item_received_bid', 'collection_offer'))), ',') AS placements"
         " FROM gap_register WHERE ended_at IS NOT NULL AND backfilled_at IS NULL AND len(backfillable_classes) > 0",
     ),
-    "parse_envelope": (envelopes, "SELECT run, seq, event_type, collection, maker, taker, price_wei, quantity, order_hash FROM market_events WHERE event_type <> 'item_metadata_updated'"),
+    "parse_envelope": (envelopes, "SELECT run, seq, event_type, collection, maker, taker, price_wei, quantity, order_hash FROM market_events"),
     "json_scalar": (json_scalar, "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS highest FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1"),
 }

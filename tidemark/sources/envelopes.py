@@ -7,9 +7,10 @@ payload]``. Parsing is by JSON expressions with fixed schemas, without any Pytho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.times import seconds
+from tidemark.operators.ordered import PART, carried, range_sorted
 
 ENVELOPE = "_seq bigint, _run string, _recv string, _topic string, _ets string, raw string"
 CONTROL = "__control__"
@@ -24,11 +25,15 @@ KEY_FIELDS = ["event_type", "order_hash", "event_timestamp", "tx_hash", "contrac
 
 _CRITERION = "struct<trait_type:string,trait_name:string,value:string,trait_value:string>"
 _ADDRESS = "struct<address:string>"
+_ORDER_ITEMS = "array<struct<itemType:int,identifierOrCriteria:string,token:string>>"
+#: The item types of an order that are tokens (or criteria over tokens), not money.
+TOKEN_ITEMS = (2, 3, 4, 5)
 #: The payload fields that are read; anything else is ignored, the raw text stays in the landing zone.
 PAYLOAD = (
     "event_timestamp string, collection struct<slug:string>, chain string, item struct<nft_id:string,chain:struct<name:string>>, order_hash string,"
     f" maker {_ADDRESS}, taker {_ADDRESS}, from_account {_ADDRESS}, to_account {_ADDRESS}, base_price string, sale_price string, payment_token struct<symbol:string>, quantity bigint,"
-    f" expiration_date string, `transaction` struct<hash:string>, trait_criteria {_CRITERION}, trait_criteria_list array<{_CRITERION}>, numeric_trait_criteria_list array<struct<trait_type:string,min:double,max:double>>"
+    f" expiration_date string, `transaction` struct<hash:string>, trait_criteria {_CRITERION}, trait_criteria_list array<{_CRITERION}>, numeric_trait_criteria_list array<struct<trait_type:string,min:double,max:double>>,"
+    f" protocol_data struct<parameters:struct<consideration:{_ORDER_ITEMS},offer:{_ORDER_ITEMS}>>, asset_contract_criteria {_ADDRESS}"
 )
 
 
@@ -50,6 +55,30 @@ def criteria(p: Column) -> Column:
     return F.transform(readable, lambda c, i: F.struct(i.alias("idx"), *[c[f].alias(f) for f in ("kind", "trait_type", "value", "num_min", "num_max")]))
 
 
+def token_of(p: Column) -> tuple[Column, Column]:
+    """(contract, token id): the item's own, else the first token among the order's consideration, then its offer; the contract at last from the criteria."""
+    nft = F.split(p["item"]["nft_id"], "/")
+    parameters = p["protocol_data"]["parameters"]
+    none = F.array().cast(_ORDER_ITEMS)
+    named = F.filter(F.concat(F.coalesce(parameters["consideration"], none), F.coalesce(parameters["offer"], none)), lambda x: x["itemType"].isin(*TOKEN_ITEMS) & (x["identifierOrCriteria"] != ""))
+    own, ordered = F.get(nft, 2), F.get(named, 0)
+    contract = F.coalesce(F.get(nft, 1), F.when(own.isNull(), ordered["token"]), p["asset_contract_criteria"]["address"])
+    return contract, F.coalesce(own, ordered["identifierOrCriteria"])
+
+
+def frame_counts(envelopes: DataFrame) -> DataFrame:
+    """Per run: frames, market events, control frames, frames without event time, and frames that arrived behind a later event time of their run's file order."""
+    frames = split_frames(envelopes).select("_run", "_seq", seconds(F.col("_ets")).alias("t"), F.col("event").isin(*EVENT_TYPES).alias("market"))
+    control = envelopes.filter(F.col("_topic") == CONTROL).groupBy("_run").agg(F.count(F.lit(1)).alias("controls"))
+    timed = frames.filter("t is not null and _run is not null and _seq is not null").groupBy("_run", "_seq").agg(F.max("t").alias("t"))
+    parts = range_sorted(timed, ["_run"], ["_seq"])
+    before = F.max("t").over(W.partitionBy("_run", PART).orderBy("_seq").rowsBetween(W.unboundedPreceding, -1))
+    late = parts.withColumn("__b", before).join(carried(parts, ["_run"], F.col("t"), F.max), ["_run", PART]).filter(F.col("t") < F.greatest("__b", "__carry")).groupBy("_run").agg(F.count(F.lit(1)).alias("out_of_order"))
+    per = frames.groupBy("_run").agg(F.count(F.lit(1)).alias("frames"), F.count_if("market").alias("events"), F.count_if(F.col("t").isNull()).alias("without_time"))
+    out = per.join(control, "_run", "full").join(late, "_run", "left")
+    return out.fillna(0, ["frames", "events", "without_time", "controls", "out_of_order"])
+
+
 def split_frames(envelopes: DataFrame) -> DataFrame:
     """Envelopes with the frame's ``event``, ``sent_at`` and ``payload`` (JSON text), control frames left out; unreadable ones keep nulls."""
     frames = envelopes.filter(F.coalesce("_topic", F.lit("")) != CONTROL)
@@ -69,11 +98,11 @@ def parse_envelopes(envelopes: DataFrame) -> DataFrame:
     rows = split_frames(envelopes).select("_run", "_seq", "_recv", "event", "sent_at", F.explode(F.when(market, F.array("payload"))).alias("payload"))
     read = rows.select("_run", "_seq", "_recv", "event", "sent_at", F.from_json("payload", PAYLOAD).alias("p"))
     p = F.col("p")
-    nft = F.split(p["item"]["nft_id"], "/")
+    contract, token = token_of(p)
     out = read.select(
         F.col("_run").alias("run"), F.col("_seq").alias("seq"), F.col("_recv").alias("observed_at"), F.coalesce(p["event_timestamp"], "sent_at").alias("valid_at"), p["event_timestamp"].alias("event_timestamp"),
         F.col("event").alias("event_type"), p["collection"]["slug"].alias("collection"), F.coalesce(p["chain"], p["item"]["chain"]["name"]).alias("chain"),
-        F.get(nft, 1).alias("contract"), F.get(nft, 2).alias("token_id"), p["order_hash"].alias("order_hash"),
+        contract.alias("contract"), token.alias("token_id"), p["order_hash"].alias("order_hash"),
         F.coalesce(p["maker"]["address"], p["from_account"]["address"]).alias("maker"), F.coalesce(p["taker"]["address"], p["to_account"]["address"]).alias("taker"),
         F.coalesce(p["base_price"], p["sale_price"]).alias("price_wei"), p["payment_token"]["symbol"].alias("payment_symbol"), p["quantity"].alias("quantity"),
         p["expiration_date"].alias("expiration_at"), p["transaction"]["hash"].alias("tx_hash"), criteria(p).alias("criteria"),
