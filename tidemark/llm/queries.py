@@ -1,4 +1,4 @@
-"""Problems 7 to 9 over documents; SQL can't express the operators, tests/llm/ has their brute-force versions."""
+"""Problems 5 and 7 to 9; SQL can't express the operators over documents, tests/llm/ has their brute-force versions."""
 
 from __future__ import annotations
 
@@ -7,9 +7,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm.leakage import find_leaks
 from tidemark.llm.mixing import mix, mix_plan, mix_report, sized
 from tidemark.llm.residue import find_residue
+from tidemark.llm.topn import clustered, top_n
 from tidemark.session import cut, table
 
 
+GROUP, N = ["collection", "event_type"], 5
+
+
+def p5_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 lives with the highest price of every collection and event type."""
+    return top_n(spark, clustered(table(spark, d, "order_lives"), GROUP, "price_eth", "order_hash"), GROUP, "price_eth", "order_hash", N)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_ranked(spark, d).select(*GROUP, "order_hash")
+
+
+_TOP = (
+    "FROM order_lives WHERE collection IS NOT NULL AND event_type IS NOT NULL AND price_eth IS NOT NULL AND NOT isnan(price_eth)"
+    f" QUALIFY row_number() OVER (PARTITION BY collection, event_type ORDER BY price_eth DESC, order_hash) <= {N}"
+)
+_SQL = {
+    "p5_found": f"SELECT collection, event_type, order_hash {_TOP}",
+    "p5_ranked": "SELECT collection, event_type, price_eth, order_hash, CAST(row_number() OVER (PARTITION BY collection, event_type ORDER BY price_eth DESC, order_hash) AS INTEGER) AS rank " + _TOP,
+}
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -49,4 +72,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(table(spark, d, "documents")).filter("excluded").select("doc_id")
 
 
-QUERIES = {f.__name__: (f, None) for f in (p7_found, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_residue)}
+QUERIES = {f.__name__: (f, _SQL.get(f.__name__)) for f in (p5_found, p5_ranked, p7_found, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_residue)}
