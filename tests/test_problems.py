@@ -11,7 +11,6 @@ from tidemark.operators.late import PeriodCounts, first_copies, issue, marks, va
 from tidemark.operators.once import SeenBitmaps, arrival_batches, arrival_edges, deliver_once
 from tidemark.operators.skew import heavy_keys, skew_aggregate, skew_join
 from tidemark.operators.spans import periods
-from tidemark.operators.topn import cluster, kept_row_groups, top_n, zone_map
 from tidemark.operators.wide import WideStore, declared, unclear_cells, wide_delta, wide_table
 from tidemark.session import work_folder
 
@@ -202,37 +201,6 @@ def test_instants(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(instant_us(F.col("t"))).first()[0] == want
 
 
-# 5 ------------------------------------------------------------------------------------------------
-def test_top_n_brute_force(spark):
-    rnd = random.Random(5)
-    rows = [(rnd.choice(["hot"] * 8 + ["a", "b", None]), rnd.choice(["x", "y", None]), rnd.choice([None, float("nan"), 1.0, 2.0, 2.0, rnd.random() * 3, -1.0]), f"h{i:05d}" if rnd.random() > 0.02 else None, "clash") for i in range(3_000)]
-    df = spark.createDataFrame(rows, "g string, k string, s double, h string, rank string")
-    path = work_folder(spark, "t")
-    cluster(df, ["g", "k"], "s", "h", path)
-    got = sorted(((r["g"], r["k"], r["s"], r["h"], r["rank"]) for r in top_n(spark, path, ["g", "k"], "s", "h", 5).collect()), key=str)
-    want = []
-    for g in {r[0] for r in rows} - {None}:
-        for k in ("x", "y"):
-            best = sorted((r for r in rows if r[0] == g and r[1] == k and r[2] is not None and r[2] == r[2]), key=lambda r: (-r[2], r[3] is not None, r[3] or ""))[:5]
-            want += [(g, k, r[2], r[3], i + 1) for i, r in enumerate(best)]
-    assert got == sorted(want, key=str)
-
-
-def test_top_n_skips_row_groups(spark):
-    df = spark.range(400_000).select(F.lit("hot").alias("g"), F.col("id").cast("double").alias("s"), F.format_string("%064d", "id").alias("h"))
-    path = work_folder(spark, "t")
-    cluster(df, ["g"], "s", "h", path)
-    zones = zone_map(spark, path, ["g"], "s")
-    assert zones.count() > 8 and kept_row_groups(zones, 1, 5).count() <= 2
-    assert [r["s"] for r in top_n(spark, path, ["g"], "s", "h", 3).orderBy("rank").collect()] == [399_999.0, 399_998.0, 399_997.0]
-
-
-def test_top_n_empty(spark):
-    path = work_folder(spark, "t")
-    cluster(spark.createDataFrame([], "g string, s double, h string"), ["g"], "s", "h", path)
-    assert top_n(spark, path, ["g"], "s", "h", 5).count() == 0
-
-
 # 6 ------------------------------------------------------------------------------------------------
 def test_late_corrections(spark):
     h = 3_600_000
