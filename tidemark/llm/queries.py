@@ -65,11 +65,11 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_residue(spark: SparkSession, d: str) -> DataFrame:
-    return find_residue(table(spark, d, "documents")).filter("excluded").drop("excluded")
+    return find_residue(table(spark, d, "documents")).filter("holds_residue").drop("holds_residue")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_residue(table(spark, d, "documents")).filter("excluded").select("doc_id")
+    return find_residue(table(spark, d, "documents")).filter("holds_residue").select("doc_id")
 
 
 QUERIES = {f.__name__: (f, _SQL.get(f.__name__)) for f in (p5_found, p5_ranked, p7_found, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_residue)}

@@ -6,7 +6,9 @@ are found by a multi-pattern automaton over the words of the text: every line
 and every sentence is measured by the share of its letters that phrases cover,
 and is residue when that share is high and a telling phrase is among them; a
 sentence that only writes about such things is mostly made of other words. A
-text's coverage is the share of its letters that lie in residue.
+text's coverage is the share of its letters that lie in residue; one of
+``MIN_COVERAGE`` or more is excluded as a whole, while ``holds_residue`` tells
+whether there is any, as a notice may stand in place of a part only.
 
 Defined cases: a null or empty text is no residue; repeated and equal texts
 each give their own row; very long texts are read whole; an empty table gives
@@ -27,6 +29,8 @@ from tidemark.llm.tokens import spread
 
 #: Share of a line's or sentence's letters that phrases must cover.
 MIN_SHARE = 0.6
+#: Share of a document's letters that must lie in residue for it to be excluded as a whole.
+MIN_COVERAGE = 0.5
 
 # Telling phrases. One alone can make a line residue if it covers enough of it.
 TELLING = """
@@ -56,6 +60,41 @@ abilita javascript | attiva javascript | abilitare javascript | pagina non trova
 请启用 javascript | 请启用javascript | 页面未找到 | 访问被拒绝 | javascriptを有効にして | ページが見つかりません | 자바스크립트를 활성화 | يرجى تفعيل جافا سكريبت
 """
 
+# The grammar of notices that ask for scripts or cookies: an asking verb and a thing, or a thing and its state, by language (verbs | things | states).
+ASKING = {
+    "en": (
+        "enable | activate | allow | turn on | switch on | re enable | unblock | permit | enabling | turning on | allowing",
+        "javascript | java script | js | scripts | scripting | cookies | javascript and cookies | cookies and javascript | your javascript | third party cookies | browser cookies",
+        "is disabled | is turned off | is switched off | is off | is not enabled | is not supported | is not available | is required | is blocked | is needed | must be enabled | must be turned on | needs to be enabled | seems to be disabled | appears to be disabled | seems to be turned off | appears to be turned off | has been disabled | are disabled | are turned off | are blocked | are required | must be allowed | disabled in your browser | turned off in your browser | is currently disabled",
+    ),
+    "de": (
+        "aktivieren sie | aktiviere | aktivieren | erlauben sie | erlaube | schalten sie | einschalten | zulassen",
+        "javascript | js | skripte | cookies | das javascript | ihr javascript",
+        "aktivieren | einschalten | ist deaktiviert | ist ausgeschaltet | ist nicht aktiviert | wird benotigt | wird nicht unterstutzt | muss aktiviert sein | scheint deaktiviert zu sein | sind deaktiviert | zulassen",
+    ),
+    "fr": (
+        "activer | activez | autoriser | autorisez | reactivez",
+        "javascript | js | le javascript | les scripts | les cookies",
+        "est desactive | est requis | est necessaire | n est pas active | doit etre active | semble etre desactive | sont desactives | sont requis",
+    ),
+    "es": (
+        "habilitar | habilite | habilita | activar | active | activa | permitir | permita",
+        "javascript | js | los scripts | las cookies",
+        "esta desactivado | esta deshabilitado | es necesario | no esta habilitado | debe estar habilitado | parece estar desactivado | estan desactivadas",
+    ),
+    "it": ("abilitare | abilita | attivare | attiva | abilitate", "javascript | i cookie", "e disabilitato | e disattivato | e necessario | non e abilitato"),
+    "pt": ("ative | ativar | habilite | habilitar | permita", "javascript | o javascript | os cookies", "esta desativado | esta desabilitado | e necessario"),
+}
+
+# Further telling phrases, of gates, databases and empty or moved pages.
+GATES = """
+you have been blocked | have i been blocked | are unable to access | unable to access this site | you are being rate limited | you have been rate limited | attention required | checking if the site connection is secure | review the security of your connection
+complete the security check | complete the captcha | solve the captcha | verifying you are human | verify you are human | ddos protection by | just a moment | press and hold to confirm | unusual traffic from your computer network | this request was blocked by | security service to protect itself
+error establishing a database connection | could not connect to the database | database connection failed | too many connections | this site can t be reached | this webpage is not available | took too long to respond | server is temporarily unable to service your request | the server encountered an internal error
+this account has been suspended | this domain is for sale | this domain has expired | website is currently unavailable | site is currently unavailable | content is not available in your country | content is not available in your region | not available in your region | this video is unavailable | you must be signed in | sign up to continue | create an account to continue | please disable your ad blocker | ad blocker detected | turn off your ad blocker
+vous devez vous connecter | veuillez vous connecter | sie mussen sich anmelden | bitte melden sie sich an | debe iniciar sesion | inicie sesion para continuar | zu viele anfragen | trop de requetes | demasiadas solicitudes | fehler beim herstellen einer datenbankverbindung
+"""
+
 # Words that fill the rest of such lines but tell nothing by themselves.
 FILLING = """
 please | sorry | oops | whoops | error | code | status | message | trace | reference | incident | request id | page | this page | this app | this site | this website | this dashboard | the page | the page you | the order book | this collection | the site
@@ -66,6 +105,10 @@ could not | find | for | looking for | too quickly | requests | most recent call
 bitte | sie | um | diese | seite | anzuzeigen | anzusehen | die | der | das | wurde | wurden | oder | verschoben | geloscht | fehler | versuchen sie es spater erneut | erneut | ihre | ihr | ist | und | nicht | neu laden
 en su navegador | su navegador | para ver | esta pagina | para | ver | su | en | codigo | el | la | por favor | intentelo de nuevo mas tarde | de | y
 veuillez | pour | afficher | cette | votre | navigateur | dans votre navigateur | erreur | le | les | et | s il vous plait | reessayez plus tard
+sie mussen | mussen | app | anwendung | diese app | auszufuhren | zu verwenden | ihrem browser | in ihrem browser | in | scheint | zu | fortzufahren
+vous devez | devez | executer | utiliser | application | cette application | ce site | page | continuer | dans | semble | merci d | merci de | afin de
+necesita | necesitas | debe | debes | tiene que | ejecutar | usar | esta aplicacion | aplicacion | este sitio | continuar | navegador | tu navegador | para continuar
+our systems have detected | our systems | have | detected | unusual traffic | from your | computer | network | to access | access | connection | connection is secure | seems | have been | run | use | view | required | proceeding | moment | ray id | performance | security | cloudflare | experience | full | functionality | features | for the best | using | web | application | application works | properly | correctly | some | might | and then | try | this | of this | of this site | does not work | will not work | without | doesn t work properly without | we re | re | ll | s | t | don t | can t
 и | страницу | чтобы | в | браузере | ошибка | код | пожалуйста
 """
 
@@ -76,17 +119,17 @@ MASH = set("foo bar baz qux quux asdf asdfg asdfgh qwer qwert qwerty zxcv hjkl t
 #: What a program prints for nothing; residue if a line holds nothing else.
 NOTHING = set("undefined null nan nil none nullptr".split())
 
-_FIELD = "[A-Za-z][A-Za-z0-9_. -]{0,60}"
+_FIELD = "[A-Za-z][A-Za-z0-9_. -]*"
 # The marks of unfilled template fields.
 TEMPLATE = regex.compile(
-    rf"\{{\{{[#/^>&!~-]? ?{_FIELD}(?:[|:][^{{}}]{{0,60}})? ?\}}\}}|[$#]\{{{_FIELD}\}}|<%[=-]? ?[^%<>]{{1,80}} ?%>|%\({_FIELD}\)[sdfr]|\[\[ ?[a-z][a-z0-9_]{{0,40}} ?\]\]|<<{_FIELD}>>|@@{_FIELD}@@"
-    r"|(?<![\w%])%[A-Z][A-Z0-9_]{2,}%(?!\w)|(?<![\w$])\$[A-Z][A-Z0-9_]{2,}\$(?!\w)|(?<!\w)__[A-Z][A-Z0-9_]{2,}__(?!\w)|(?<![\w{}\\^$#%])\{[a-z][a-z0-9_]{1,40}\}(?![\w{}])"
-    r"|\[(?:your|insert|enter|add|type|choose|fill in)\b[^\[\]\n]{1,60}\]|\[[^\[\]\n]{1,60} (?:goes here|here|to be added|to follow)\]|\((?:TBD|TODO|TBC|FIXME)\b[^()\n]{0,60}\)|\[(?:TBD|TODO|TBC|FIXME)\b[^\[\]\n]{0,60}\]"
-    r"|(?<!\w)X{4,}(?!\w)|<(?:your|insert|enter)\b[^<>\n]{1,60}>",
+    rf"\{{\{{[#/^>&!~-]? ?{_FIELD}(?:[|:][^{{}}]*)? ?\}}\}}|[$#]\{{{_FIELD}\}}|<%[=-]? ?[^%<>]+ ?%>|%\({_FIELD}\)[sdfr]|\[\[ ?[a-z][a-z0-9_]* ?\]\]|<<{_FIELD}>>|@@{_FIELD}@@"
+    r"|(?<![\w%])%[A-Z][A-Z0-9_]{2,}%(?!\w)|(?<![\w$])\$[A-Z][A-Z0-9_]{2,}\$(?!\w)|(?<!\w)__[A-Z][A-Z0-9_]{2,}__(?!\w)|(?<![\w{}\\^$#%])\{[a-z][a-z0-9_]+\}(?![\w{}])"
+    r"|\[(?:your|insert|enter|add|type|choose|fill in)\b[^\[\]\n]+\]|\[[^\[\]\n]+ (?:goes here|here|to be added|to follow)\]|\((?:TBD|TODO|TBC|FIXME)\b[^()\n]*\)|\[(?:TBD|TODO|TBC|FIXME)\b[^\[\]\n]*\]"
+    r"|(?<!\w)X{4,}(?!\w)|<(?:your|insert|enter)\b[^<>\n]+>",
 )
-_INSERT = regex.compile(r"\[(?:YOUR|INSERT|Insert|Your|ENTER|Enter|ADD|Add)\b[^\[\]\n]{1,60}\]|<(?:YOUR|INSERT)\b[^<>\n]{1,60}>")
-_ANGLE = regex.compile(r"<([A-Z][A-Z0-9_]{2,40})>")
-_CODE = regex.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|<(code|pre|kbd|samp)\b[^<>]*>.*?</\1>|\"[^\"\n]{1,120}\"|“[^“”\n]{1,120}”|„[^„“”\n]{1,120}[“”]|«[^«»\n]{1,120}»|(?<!\w)'[^'\n]{1,120}'(?!\w)", regex.S | regex.I)
+_INSERT = regex.compile(r"\[(?:YOUR|INSERT|Insert|Your|ENTER|Enter|ADD|Add)\b[^\[\]\n]+\]|<(?:YOUR|INSERT)\b[^<>\n]+>")
+_ANGLE = regex.compile(r"<([A-Z][A-Z0-9_]{2,})>")
+_CODE = regex.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|<(code|pre|kbd|samp)\b[^<>]*>.*?</\1>|\"[^\"\n]+\"|“[^“”\n]+”|„[^„“”\n]+[“”]|«[^«»\n]+»|(?<!\w)'[^'\n]+'(?!\w)", regex.S | regex.I)
 _MARK = regex.compile(r"[{}\[\]<%$@_(]|XXXX")
 _HTML = regex.compile(r"<[^<>]*>")
 _MARKS, _LETTERS = regex.compile(r"\p{M}+"), regex.compile(r"\p{L}+")
@@ -95,21 +138,32 @@ _SENTENCE = regex.compile(r"(?<=[.!?…。])\s+|(?<=[。！？])")
 _RAW = regex.compile(r"\[object Object\]|^\s*(?:File \"[^\"\n]+\", line \d+|[A-Z]\w*(?:Error|Exception)(?::.*)?$)", regex.M)
 
 
+_ASCII_WORDS = {i: chr(i).lower() if chr(i).isalpha() else " " for i in range(128)}
+_ASCII_LETTERS = {i: None for i in range(128) if not chr(i).isalpha()}
+
+
 def _plain(text: str) -> str:
     """Lower case, without accents, words only, one blank between them and at both ends."""
-    s = text.casefold()
-    if not s.isascii():
-        s = _MARKS.sub("", unicodedata.normalize("NFKD", s))
+    if text.isascii():
+        return " " + " ".join(text.translate(_ASCII_WORDS).split()) + " "
+    s = _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
     return " " + " ".join(_LETTERS.findall(s)) + " "
 
 
+def _size(text: str) -> int:
+    """Letters of a text, with their marks."""
+    return len(text.translate(_ASCII_LETTERS)) if text.isascii() else sum(len(w) for w in _WORDS.findall(text))
+
+
 @lru_cache(maxsize=2)
 def automaton(only_telling: bool = False):
     """The multi-pattern automaton; a phrase's value is (its length with both blanks, whether it is telling)."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for block, telling in ((TELLING, True),) if only_telling else ((FILLING, False), (TELLING, True)):
+    asking = "|".join(f"{x} {y}" for verbs, things, states in ASKING.values() for v in things.split("|") for x, y in [*((verb, v) for verb in verbs.split("|")), *((v, state) for state in states.split("|"))])
+    telling_blocks = ((TELLING, True), (GATES, True), (asking, True))
+    for block, telling in telling_blocks if only_telling else ((FILLING, False), *telling_blocks):
         for phrase in block.replace("\n", "|").split("|"):
             if phrase.strip():
                 a.add_word(_plain(phrase), (len(_plain(phrase)), telling))
@@ -120,8 +174,20 @@ def automaton(only_telling: bool = False):
 _TILES = regex.compile(rf"(?:{'|'.join(sorted(set(SYLLABLES), key=len, reverse=True))})+")
 
 
+class _Fillers(dict):
+    """What a word can be: l (pseudo-Latin), k (keyboard filler), b (both) or blank; remembered for short words."""
+
+    def __missing__(self, word: str) -> str:
+        latin, mash = _TILES.fullmatch(word) is not None, word in MASH
+        kind = "b" if latin and mash else "l" if latin else "k" if mash else " "
+        if len(word) < 24 and len(self) < 1_000_000:
+            self[word] = kind
+        return kind
+
+
+_FILLERS = _Fillers()
 # Of six words or more with 85 % filler, three successive ones are filler: a text without such a run needs no closer look.
-_RUN = regex.compile(rf"(?: (?:{_TILES.pattern})(?= )){{3}}|(?: (?:{'|'.join(sorted(MASH))})(?= )){{3}}")
+_RUN = regex.compile("[lb]{3}|[kb]{3}")
 _BARE = regex.compile(rf" (?:{'|'.join(sorted(NOTHING))}) ")
 
 
@@ -135,26 +201,29 @@ def _suspect(text: str) -> bool:
     if "<" in text or "Error" in text or "Exception" in text or "[object Object]" in text or 'File "' in text:  # the last four: all of _RAW
         return True
     plain = _plain(text)
-    return next(automaton(True).iter(plain), None) is not None or _BARE.search(plain) is not None or _RUN.search(plain) is not None
+    return next(automaton(True).iter(plain), None) is not None or _BARE.search(plain) is not None or _RUN.search("".join(map(_FILLERS.__getitem__, plain.split()))) is not None
 
 
 def _phrases(plain: str) -> tuple[float, bool]:
     """(share of the letters covered by phrases, whether a telling one is among them)."""
-    covered, telling = bytearray(len(plain)), False
+    spans, telling = [], False
     for end, (n, tells) in automaton().iter(plain):
-        covered[end - n + 2 : end] = b"\1" * (n - 2)
-        telling |= tells
-    letters = len(plain.replace(" ", ""))
-    return (sum(1 for c, on in zip(plain, covered) if on and c != " ") / letters if letters else 0.0), telling
+        begin, telling = end - n + 2, telling or tells
+        while spans and spans[-1][1] >= begin:  # matches come in order of their ends
+            begin = min(begin, spans.pop()[0])
+        spans.append((begin, end))
+    letters = len(plain) - plain.count(" ")
+    covered = sum(b - a - plain.count(" ", a, b) for a, b in spans)
+    return (covered / letters if letters else 0.0), telling
 
 
 def _filler(words: list[str]) -> bool:
     """Pseudo-Latin or keyboard filler: nearly all of six words or more."""
     if len(words) < 6:
         return False
-    latin = sum(1 for w in words if _TILES.fullmatch(w))
-    mash = sum(1 for w in words if w in MASH)
-    return max(latin, mash) >= 0.85 * len(words)
+    kinds = "".join(map(_FILLERS.__getitem__, words))
+    both = kinds.count("b")
+    return max(kinds.count("l"), kinds.count("k")) + both >= 0.85 * len(words)
 
 
 def segment_kind(line: str) -> str | None:
@@ -176,39 +245,42 @@ def segment_kind(line: str) -> str | None:
     return None
 
 
-def template_fields(text: str) -> int:
-    """Unfilled template fields in the text's own wording."""
+def template_fields(text: str) -> tuple[int, int]:
+    """(unfilled template fields in the text's own wording, their letters)."""
     if not _MARK.search(text) or not (TEMPLATE.search(text) or _INSERT.search(text) or _ANGLE.search(text)):
-        return 0
+        return 0, 0
     own = _CODE.sub(" ", text)
-    angles = sum(1 for m in _ANGLE.finditer(own) if f"</{m.group(1)}>" not in own)
-    return sum(1 for _ in TEMPLATE.finditer(own)) + sum(1 for _ in _INSERT.finditer(own)) + angles
+    found = [m.group() for p in (TEMPLATE, _INSERT) for m in p.finditer(own)]
+    found += [m.group() for m in _ANGLE.finditer(own) if f"</{m.group(1)}>" not in own]
+    return len(found), sum(map(_size, found))
 
 
 def residue(text: str | None) -> tuple[int, int, int, float]:
-    """(template fields, filler segments, notice segments, share of the letters in filler and notices)."""
+    """(template fields, filler segments, notice segments, share of the letters in fields, filler and notices)."""
     if not text:
         return 0, 0, 0, 0.0
-    fields, filler, notice, inside, letters = template_fields(text), 0, 0, 0, 0
+    (fields, inside), filler, notice, letters = template_fields(text), 0, 0, 0
     if not _suspect(text):
-        return fields, 0, 0, 0.0
+        if not fields:
+            return 0, 0, 0, 0.0
+        return fields, 0, 0, min(1.0, inside / max(1, _size(text)))
     for line in text.split("\n"):
         if not line.strip():
             continue
-        n = len(_WORDS.findall(line))
+        n = _size(line)
         letters += n
         whole = segment_kind(line)
         for part in [line] if whole else _SENTENCE.split(line):
             kind = whole or segment_kind(part)
             if kind:
-                inside += n if whole else len(_WORDS.findall(part))
+                inside += n if whole else _size(part)
                 filler += kind == "filler"
                 notice += kind == "notice"
-    return fields, filler, notice, inside / letters if letters else float(filler + notice > 0)
+    return fields, filler, notice, min(1.0, inside / letters) if letters else float(fields + filler + notice > 0)
 
 
 def find_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, fields, filler, notices (counts), coverage, excluded."""
+    """One row per document: id, fields, filler, notices (counts), coverage, holds_residue (any of them), excluded (coverage of MIN_COVERAGE or more)."""
     kind = dict(docs.select(doc_id).dtypes)[doc_id]
     slim = spread(docs.select(F.col(doc_id), F.col(text).alias("__text")))
 
@@ -218,4 +290,4 @@ def find_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pd.DataFrame({doc_id: batch[doc_id], **{c: [r[i] for r in rows] for i, c in enumerate(("fields", "filler", "notices", "coverage"))}})
 
     found = slim.mapInPandas(scan, f"{doc_id} {kind}, fields int, filler int, notices int, coverage double")
-    return found.withColumn("excluded", (F.col("fields") + F.col("filler") + F.col("notices")) > 0)
+    return found.withColumns({"holds_residue": (F.col("fields") + F.col("filler") + F.col("notices")) > 0, "excluded": F.col("coverage") >= MIN_COVERAGE})
