@@ -50,9 +50,20 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return cut(sized(table(spark, d, "documents").select("doc_id", "source", "text"), "text").drop("text"))
 
 
-def p8_report(spark: SparkSession, d: str) -> DataFrame:
+def _mixed(spark: SparkSession, d: str, budget: str = "all") -> tuple[DataFrame, DataFrame]:
+    """(the mix, its plan)"""
     sizes = _sizes(spark, d)
-    return mix_report(sizes, mix_plan(sizes, table(spark, d, "mix_targets")), "doc_id")
+    plan = cut(mix_plan(sizes, table(spark, d, "mix_targets"), budget))
+    return mix(sizes, plan, "doc_id"), plan
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(*_mixed(spark, d))
+
+
+def p8_reachable(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a mix that is no larger than every source can bear, so that all shares are met."""
+    return mix_report(*_mixed(spark, d, "reachable"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,8 +71,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    sizes = _sizes(spark, d)
-    return mix(sizes, mix_plan(sizes, table(spark, d, "mix_targets")), "doc_id").select("doc_id", "source", "n_tokens", "copy", "position")
+    return _mixed(spark, d)[0].select("doc_id", "source", "n_tokens", "copy", "position")
 
 
 def p9_residue(spark: SparkSession, d: str) -> DataFrame:
@@ -72,4 +82,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(table(spark, d, "documents")).filter("holds_residue").select("doc_id")
 
 
-QUERIES = {f.__name__: (f, _SQL.get(f.__name__)) for f in (p5_found, p5_ranked, p7_found, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_residue)}
+QUERIES = {f.__name__: (f, _SQL.get(f.__name__)) for f in (p5_found, p5_ranked, p7_found, p7_report, p8_found, p8_report, p8_reachable, p8_mix, p9_found, p9_residue)}
