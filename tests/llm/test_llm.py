@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.leakage import ItemIndex, find_leaks, leaked, visible_words
+from tidemark.llm import leakage
+from tidemark.llm.leakage import ItemIndex, find_leaks, leaks, shown, visible_words
 from tidemark.llm.mixing import capped_mean, mix, mix_plan, mix_report, poisson_rate, replicas, sized, thresholds
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.residue import find_residue, residue
@@ -28,6 +29,7 @@ def disguise(rnd, words):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_leaks_brute_force(seed):
+    leaked = lambda index, texts: [(d, index.ids[k]) for d, k, _, exact in leaks(index, [shown(t) for t in texts]) if exact]
     rnd = random.Random(seed)
     items = [passage(rnd, rnd.choice([5, 12, 20, 40])) for _ in range(30)]
     index = ItemIndex(list(range(30)), [" ".join(i) for i in items], 12)
@@ -48,6 +50,63 @@ def test_leaks_brute_force(seed):
         assert any("".join(items[k][i : i + 12]) in flat for i in range(len(items[k]) - 11))
 
 
+def edit_distance(passage, text):
+    """Of a passage to the nearest stretch of a text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(passage, 1):
+        new = [i]
+        for j, x in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != x), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def edited(rnd, s, n):
+    for _ in range(n):
+        i = rnd.randrange(len(s))
+        s = rnd.choice([s[:i] + s[i + 1 :], s[:i] + "q" + s[i:], s[:i] + "q" + s[i + 1 :]])
+    return s
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_near_leaks_against_edit_distance(seed):
+    rnd = random.Random(seed)
+    items = [passage(rnd, rnd.choice([12, 14, 20])) for _ in range(8)]
+    index = ItemIndex(list(range(8)), [" ".join(i) for i in items], 12)
+    texts = []
+    for _ in range(25):
+        k = rnd.randrange(8)
+        a = rnd.randrange(len(items[k]) - 11)
+        texts.append(" ".join(passage(rnd, 8)) + " " + edited(rnd, " ".join(items[k][a : a + 12]), rnd.choice([0, 1, 2, 3, 5])) + " " + " ".join(passage(rnd, 8)))
+    got = {(d, k): c for d, k, c, _ in leaks(index, [shown(t) for t in texts])}
+    want = {}
+    for d, t in enumerate(texts):
+        flat = "".join(visible_words(t)[0])
+        for k, words in enumerate(items):
+            c = min(edit_distance("".join(words[a : a + 12]), flat) for a in range(len(words) - 11))
+            if c <= leakage.EDITS:
+                want[d, k] = c
+    assert got == want and len(set(want.values())) > 1
+
+
+def test_one_letter_left_out_is_a_near_leak():
+    rnd = random.Random(3)
+    words = passage(rnd, 16)
+    index = ItemIndex([7], [" ".join(words)], 12)
+    text = " ".join(words[:8] + [words[8][:-1]] + words[9:])
+    assert leaks(index, [shown(text)]) == [(0, 0, 1, False)]
+
+
+def test_blocks_give_the_same(spark, monkeypatch):
+    rnd = random.Random(4)
+    items = [(i, " ".join(passage(rnd, 15))) for i in range(12)]
+    docs = spark.createDataFrame([(d, " ".join(passage(rnd, 20)) + " " + edited(rnd, items[d % 12][1], d % 3)) for d in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, find_leaks(docs, queries).collect()))
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
+    assert sorted(map(tuple, find_leaks(docs, queries).collect())) == one and len(one) >= 40
+
+
 def test_leak_edges(spark):
     rnd = random.Random(9)
     item = passage(rnd, 15)
@@ -55,11 +114,13 @@ def test_leak_edges(spark):
     long = " ".join(passage(rnd, 60_000)) + " " + " ".join(item) + " " + " ".join(passage(rnd, 1_000))
     docs = spark.createDataFrame([(1, " ".join(item), "x"), (2, " ".join(item[:11]), "x"), (3, None, "x"), (4, "", "x"), (5, broken, "x"), (6, long, "x"), (7, " ".join(item), "x"), (8, "x" + " ".join(item[:12]) + "x", "x")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item)), (3, None), (4, ""), (5, "too short")], "item_id long, text string")
-    assert sorted(map(tuple, find_leaks(docs, items).collect())) == [(i, d) for i in (1, 2) for d in (1, 6, 7)]
+    found = find_leaks(docs, items).collect()
+    assert sorted((r["item_id"], r["doc_id"]) for r in found if r["exact"]) == [(i, d) for i in (1, 2) for d in (1, 6, 7)]
+    assert sorted((r["item_id"], r["doc_id"], r["edits"]) for r in found if not r["exact"]) == [(i, d, c) for i in (1, 2) for d, c in ((5, 2), (8, 0))]
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
     tiny = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     short = spark.createDataFrame([(1, "z a b c d z"), (2, "zab cd")], "doc_id long, text string")
-    assert [r["doc_id"] for r in find_leaks(short, tiny, min_words=4).collect()] == [1]
+    assert [r["doc_id"] for r in find_leaks(short, tiny, min_words=4).filter("exact").collect()] == [1]
 
 
 def test_token_count_is_the_tokenizer(spark):
@@ -75,19 +136,20 @@ def test_token_count_is_the_tokenizer(spark):
 def test_capped_poisson():
     for mean, cap in ((0.3, 1), (1.7, 4), (2.9, 3), (0.01, 2)):
         assert capped_mean(poisson_rate(mean, cap), cap) == pytest.approx(mean, abs=1e-6)
-    assert thresholds(5.0, 3) == [0.0] * 3 and thresholds(0.0, 3) == [] and thresholds(1.0, 0) == []
+    assert thresholds(5.0, 3) == (3, []) and thresholds(0.0, 3) == (0, []) and thresholds(1.0, 0) == (0, [])
 
 
-@pytest.mark.parametrize(("mean", "cap"), [(1_000.0, 2_000), (1_990.0, 2_000), (699.0, 2_000), (0.3, 2_000), (760.0, 800)])
+@pytest.mark.parametrize(("mean", "cap"), [(1_000.0, 2_000), (1_990.0, 2_000), (699.0, 2_000), (0.3, 2_000), (760.0, 800), (3e5, 1_000_000)])
 def test_high_rates_are_reached(mean, cap):
-    cuts = thresholds(mean, cap)
-    assert len(cuts) == cap and sum(1.0 - c for c in cuts) == pytest.approx(mean, rel=1e-6)
+    base, cuts = thresholds(mean, cap)
+    assert base + len(cuts) <= cap and base + sum(1.0 - c for c in cuts) == pytest.approx(mean, rel=1e-6) and cuts == sorted(cuts)
 
 
 def test_mix_of_a_small_source(spark):
     sizes = spark.createDataFrame([(f"s{i}", "small", 1) for i in range(50)] + [("b", "big", 99_950)], "doc_id string, source string, n_tokens long")
     targets = spark.createDataFrame([("small", 0.5, 2_000), ("big", 0.5, 2)], "source string, target_share double, max_repeats int")
-    got = {r["source"]: r for r in mix_report(sizes, mix_plan(sizes, targets), "doc_id").collect()}
+    plan = mix_plan(sizes, targets)
+    got = {r["source"]: r for r in mix_report(mix(sizes, plan, "doc_id"), plan).collect()}
     assert got["small"]["mixed_tokens"] == pytest.approx(50_000, rel=0.02) and not got["small"]["short"]
 
 
@@ -97,13 +159,18 @@ def test_mix_shares_and_caps(spark):
     targets = spark.createDataFrame([("big", 0.7, 1), ("small", 0.25, 4), ("none", 0.05, 2)], "source string, target_share double, max_repeats int")
     sizes = sized(docs, "text").drop("text").cache()
     plan = mix_plan(sizes, targets)
-    out = {r["source"]: r for r in mix_report(sizes, plan, "doc_id").collect()}
+    out = {r["source"]: r for r in mix_report(mix(sizes, plan, "doc_id"), plan).collect()}
     budget = sum(r["n_tokens"] for r in sizes.collect())
     assert out["big"]["mixed_tokens"] == pytest.approx(0.7 * budget, rel=0.05) and out["small"]["mixed_tokens"] == pytest.approx(0.25 * budget, rel=0.1)
     assert out["none"]["short"] and not out["big"]["short"] and not out["small"]["short"] and out["none"]["actual_share"] == 0
     copies = replicas(sizes, plan, "doc_id")
     assert copies.filter("source = 'big'").agg(F.max("copies")).first()[0] == 1 and copies.filter("source = 'small'").agg(F.max("copies")).first()[0] <= 4
+    reach = mix_plan(sizes, targets, "reachable")
+    full = {r["source"]: r for r in mix_report(mix(sizes, reach, "doc_id"), reach).collect()}
+    assert full["big"]["actual_share"] / full["small"]["actual_share"] == pytest.approx(0.7 / 0.25, rel=0.1) and not full["small"]["short"]
     mixed = mix(sizes, plan, "doc_id")
+    places = [r[0] for r in mixed.select("position").collect()]
+    assert places == sorted(places)
     assert mixed.agg(F.sum("n_tokens")).first()[0] == sum(r["mixed_tokens"] for r in out.values())
     assert mixed.select("doc_id", "copy").distinct().count() == mixed.count()
     assert sorted(map(tuple, mixed.select("doc_id", "copy").collect())) == sorted(map(tuple, mix(sizes, plan, "doc_id").select("doc_id", "copy").collect()))
@@ -138,6 +205,38 @@ def test_fields(field):
     assert not sum(residue(f"A label such as `{field}` is replaced before drawing.")[:3])
 
 
+# public notices, and sentences of other domains that use the same words
+HELD_OUT = [
+    "JavaScript seems to be disabled in your browser. For the best experience on our site, be sure to turn on Javascript in your browser.", "Sorry, you have been blocked", "Please turn on JS and disable any ad blocker",
+    "Vous devez activer JavaScript pour exécuter cette application.", "Necesitas habilitar JavaScript para ejecutar esta aplicación.", "Error establishing a database connection", "You need to enable JavaScript to run this app.",
+    "Sie müssen JavaScript aktivieren, um diese App auszuführen.", "This site requires Javascript in order to view all its content. Please enable Javascript.", "Cookies are disabled in your browser. Please enable cookies and reload the page.",
+    "Checking if the site connection is secure", "Attention Required! | Cloudflare", "Just a moment...", "You are being rate limited.", "Our systems have detected unusual traffic from your computer network.", "503 Service Temporarily Unavailable",
+    "This site can't be reached", "Please complete the security check to access", "The server encountered an internal error and was unable to complete your request.", "We're sorry but this app doesn't work properly without JavaScript enabled. Please enable it to continue.",
+    "You must be signed in to view this page.", "Zu viele Anfragen. Bitte versuchen Sie es später erneut.", "Abilita JavaScript per continuare", "Este site requer JavaScript. Ative o JavaScript no navegador.",
+]
+HELD_OUT_CONTENT = [
+    "Our team compared three browsers and found that scripts loaded fastest in the second one.", "The court blocked the request on Tuesday, and the company said it would appeal within a month.", "To enable JavaScript modules in the bundler, the build now emits one file for each entry point and a map beside it.",
+    "The database connection pool is sized at twice the number of cores, which kept the median latency at 4 ms during the test.", "When cookies are baked at a lower heat they spread more slowly and stay soft in the middle.", "Moments later the server brought the bill, and we left for the station.",
+    "The review found that access was denied to 14 of 300 applicants, most of them for want of a second document.", "Unusual traffic patterns on the bridge were traced to the closure of the tunnel two miles north.", "He signed in at the front desk and continued to the third floor, where the page was waiting for him.",
+    "Researchers disabled the gene in mice and saw no change in weight over twelve weeks.", "La page de garde porte le nom de l'auteur et la date de la première édition.", "Die Seite des Hauses, die zur Straße liegt, wurde im Frühjahr neu gestrichen.",
+]
+
+
+def test_held_out_notices():
+    """Notices as the web has them, beside the planted ones. The lists were written with such notices in mind, so this is no independent estimate of recall."""
+    hit, wrong = [t for t in HELD_OUT if residue(t)[2]], [t for t in HELD_OUT_CONTENT if sum(residue(t)[:3])]
+    assert len(hit) >= 0.8 * len(HELD_OUT) and not wrong, (set(HELD_OUT) - set(hit), wrong)
+
+
+def test_fields_and_quotations_of_any_length():
+    assert residue(f"Most bids in {{{{ {'owner_' * 30}name }}}} come from one maker.")[0] == 1
+    assert residue(f"It said \"{'so it goes on ' * 30}{{{{slug}}}} and so on\" in the first line.")[0] == 0
+
+
+def test_exclusion_is_by_coverage():
+    assert residue(RESIDUE[0])[3] > 0.9 and 0 < residue(f"{CONTENT}\n{CONTENT}\n{RESIDUE[5]}")[3] < 0.4 and 0 < residue(f"{CONTENT} {{{{slug}}}}")[3] < 0.2
+
+
 @pytest.mark.parametrize("text", HARMLESS)
 def test_harmless(text):
     assert not sum(residue(text)[:3])
@@ -166,8 +265,8 @@ def test_prefilter_is_a_superset(monkeypatch):
 def test_residue_frame(spark):
     rows = [(1, RESIDUE[0], 1.0), (1, RESIDUE[0], 1.0), (2, CONTENT * 3_000, 1.0), (3, CONTENT * 3_000 + "\n" + RESIDUE[0], 1.0), (4, None, 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, coverage double")
-    out = sorted((r["doc_id"], r["excluded"], r["coverage"] > 0.9) for r in find_residue(df).collect())
-    assert out == [(1, True, True), (1, True, True), (2, False, False), (3, True, False), (4, False, False)]
+    out = sorted((r["doc_id"], r["holds_residue"], r["excluded"], r["coverage"] > 0.9) for r in find_residue(df).collect())
+    assert out == [(1, True, True, True), (1, True, True, True), (2, False, False, False), (3, True, False, False), (4, False, False, False)]
     assert find_residue(df.limit(0)).count() == 0
 
 

@@ -1,22 +1,28 @@
-"""Passages of held-out items in a large corpus.
+"""Passages of held-out items in a large corpus, whole or with a few edits.
 
-Texts are reduced to what a reader sees: runs of letters and digits without
-case, accents, width, markup and invisible characters, joined without spaces,
-with the places where a word begins kept beside them (a line end inside or
-between words may be one or not). Then, by the q-gram lemma: a stretch of L
-characters with at most k edits shares L - q + 1 - k * q character q-grams with
-its source, all within a band of diagonals. Shared q-grams are counted in
-overlapping diagonal bands; bands that meet the bound are verified by banded
-local alignment; what survives is decided exactly, by ``min_words`` successive
-words of the item in order.
+Texts are reduced to what a reader sees: letters and digits without case,
+accents, width, markup and invisible characters, joined without spaces, with the
+places where a word begins kept beside them (a line end inside or between words
+may be one or not). A passage is ``min_words`` successive words of an item.
 
-The items are the stated query set: they are indexed in blocks of bounded size
-that are broadcast, and every document meets every block, whole.
+By the q-gram lemma, a passage of L characters within k edits of a stretch of a
+document shares at least L - q + 1 - k * q of its q-grams with it, all within
+k diagonals of each other. Shared q-grams are counted in overlapping bands of
+diagonals; bands that meet the bound for an item's easiest passage are looked at
+passage by passage (distinct places of the item, within the band), and every
+passage that meets its own bound is verified by banded alignment, which gives
+its edit distance to the best stretch. Passages without an edit are compared
+once more as words. Nothing but these steps decides.
+
+The items are the stated query set: they are indexed in blocks of bounded size,
+one of which is broadcast at a time, and every document meets every block, whole.
 
 Defined cases: a null or empty text holds nothing; an item shorter than
-``min_words`` words can't be found; equal documents and equal items each give
-their own rows; a pair is reported once; very long texts are searched whole;
-an empty table gives an empty result; other columns are left out.
+``min_words`` words can't be found; a passage too short for the bound gets a
+smaller budget, (L - q) // q edits, and one shorter than q none; equal documents
+and equal items each give their own rows; a pair is reported once, with its
+fewest edits; very long texts are searched whole; an empty table gives an empty
+result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,27 +38,41 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.tokens import spread
+from tidemark.session import work_folder
 
-#: Length of a q-gram, edits allowed in a stretch, width of a diagonal band.
-Q, EDITS, BAND = 8, 1, 8
-#: Characters of items in one broadcast block (about 40 bytes of index each).
+#: Length of a q-gram, edits allowed in a passage, width of a diagonal band (at least 2 * EDITS + 2).
+Q, EDITS, BAND = 8, 2, 8
+#: Characters of items in one broadcast block (about 60 bytes of index each).
 BLOCK_CHARS = 1_000_000
-#: Characters of documents that are handled at once.
+#: Characters of documents that are handled at once (a longer text by itself).
 CHUNK_CHARS = 2_000_000
+#: Passages that are aligned at once.
+ALIGN_ROWS = 4_000
 
 _INLINE = regex.compile(r"</?(?:a|abbr|b|bdi|bdo|big|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr)(?:\s[^<>]*)?/?>", regex.I)
 _TAG = regex.compile(r"</?[a-zA-Z!][^<>]*>|<!--.*?-->", regex.S)
 _LINK = regex.compile(r"!?\[([^\[\]]*)\]\((?:[^()\s]*)\)")
 _HIDDEN = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
 _INNER = regex.compile(r"(?<=[\p{L}\p{N}])[*~`]+(?=[\p{L}\p{N}])")
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
-_BREAK = regex.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]|^[-\u2010\u2011\u00ac]\s+$")
 #: Letters that have no decomposition but are read as another letter with a stroke or as two letters.
 _FOLD = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ŧ": "t", "ı": "i", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d"})
+_LETTER, _SPACE, _END, _HYPHEN = 1, 2, 4, 8
 
 
-def visible_words(text: str) -> tuple[list[str], list[bool]]:
-    """The words of a text as a reader sees them, and of each whether a line end lies before it (so that it may continue the one before)."""
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """What every code point is: a letter or digit, a blank, a line end, a hyphen."""
+    kinds = np.zeros(0x110000, np.uint8)
+    points = np.array([p for p in range(0x110000) if not 0xD800 <= p < 0xE000], np.int64)
+    every = "".join(map(chr, points.tolist()))
+    for flag, pattern in ((_LETTER, r"[\p{L}\p{N}]+"), (_SPACE, r"\s+"), (_END, r"[\n\r\x0b\x0c\x85\u2028\u2029]+"), (_HYPHEN, r"[-\u2010\u2011\u00ac]+")):
+        for m in regex.finditer(pattern, every):
+            kinds[points[m.start() : m.end()]] |= flag
+    return kinds
+
+
+def shown(text: str) -> str:
+    """The text without what a reader doesn't see; letters in one form."""
     s = text
     if "&" in s:
         s = html.unescape(s)
@@ -65,19 +86,51 @@ def visible_words(text: str) -> tuple[list[str], list[bool]]:
         s = s.lower()
     if "*" in s or "~" in s or "`" in s:
         s = _INNER.sub("", s)
-    words, loose, end = [], [], 0
-    for m in _WORD.finditer(s):
-        gap = s[end : m.start()]
-        words.append(m.group())
-        loose.append(gap != " " and bool(_BREAK.search(gap)))
-        end = m.end()
-    return words, loose
+    return s
 
 
 def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+class Flat:
+    """Shown texts one behind the other: their letters, where each text begins, and where words begin for certain or perhaps."""
+
+    def __init__(self, texts: list[str]):
+        codes = _codes("\0".join(texts)) if texts else np.empty(0, np.uint32)
+        kinds = _kinds()[codes]
+        at = np.flatnonzero(kinds & _LETTER)
+        self.letters = codes[at]
+        borders = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        self.starts = np.searchsorted(at, borders)  # one more than there are texts: the end of the last
+        self.starts[-1] = len(at)
+        n = len(at)
+        may, certain = np.ones(n + 1, bool), np.ones(n + 1, bool)
+        if n:
+            may[1:n] = at[1:] != at[:-1] + 1
+            gap = np.flatnonzero(may[1:n]) + 1  # words with something before them
+            lo, hi = at[gap - 1] + 1, at[gap]
+            count = lambda flag: np.concatenate([[0], np.cumsum((kinds & flag) > 0)])
+            ends, blanks = count(_END), count(_SPACE)
+            parted = ((kinds[lo] & _HYPHEN) > 0) & (hi - lo > 1) & (blanks[hi] - blanks[lo + 1] == hi - lo - 1)
+            certain[1:n] = may[1:n]
+            certain[gap[(ends[hi] > ends[lo]) | parted]] = False
+            inner = self.starts[(self.starts > 0) & (self.starts < n)]
+            may[inner] = certain[inner] = True
+        self.may, self.certain = may, certain
+
+    def doc(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, place, side="right") - 1
+
+
+def visible_words(text: str) -> tuple[list[str], list[bool]]:
+    """The words of a text as a reader sees them, and of each whether a line end lies before it (so that it may continue the one before)."""
+    flat = Flat([shown(text)])
+    first = np.flatnonzero(flat.may)
+    s = flat.letters.tobytes().decode("utf-32-le", "surrogatepass")
+    return [s[a:b] for a, b in zip(first, first[1:])], [not flat.certain[a] for a in first[:-1]]
+
+
 def _grams(codes: np.ndarray) -> np.ndarray:
     """64-bit hashes of all q-grams."""
     n = len(codes) - Q + 1
@@ -99,185 +152,233 @@ class ItemIndex:
     BITS = 22
 
     def __init__(self, ids: list, texts: list[str | None], min_words: int):
-        self.min_words = min_words
-        self.ids, self.codes, self.starts, self.bounds, self.shortest = [], [], [], [], []
-        hashes, items, places = [], [], []
+        self.min_words, self.ids, self.codes, self.first = min_words, [], [], []
+        a, b, of, hashes, items, places = [], [], [], [], [], []
         for i, text in zip(ids, texts):
-            words, _ = visible_words(text or "")
-            if len(words) < min_words:
+            flat = Flat([shown(text or "")])
+            at = np.flatnonzero(flat.may)  # word starts and the end
+            if len(at) - 1 < min_words:
                 continue
-            at = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-            codes = _codes("".join(words))
-            first = np.zeros(len(codes) + 1, bool)
-            first[at[:-1]] = True
             k = len(self.ids)
             self.ids.append(i)
-            self.codes.append(codes)
-            self.starts.append(first)
-            self.bounds.append((at[: len(words) - min_words + 1], at[min_words:]))
-            self.shortest.append(int((at[min_words:] - at[: len(words) - min_words + 1]).min()))
-            h = _grams(codes)
+            self.codes.append(flat.letters)
+            self.first.append(flat.may)
+            a.append(at[: len(at) - min_words])
+            b.append(at[min_words:])
+            of.append(np.full(len(at) - min_words, k, np.int64))
+            h = _grams(flat.letters)
             hashes.append(h)
-            items.append(np.full(len(h), k, np.int32))
-            places.append(np.arange(len(h), dtype=np.int32))
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.item = np.concatenate(items)[order] if hashes else np.empty(0, np.int32)
-        self.place = np.concatenate(places)[order] if hashes else np.empty(0, np.int32)
-        self.hash, self.begin, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+            items.append(np.full(len(h), k, np.int64))
+            places.append(np.arange(len(h), dtype=np.int64))
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
+        #: passages: the item they are of, where they begin and end, their budget of edits and their bound of shared q-grams
+        self.of, self.a, self.b = join(of, np.int64), join(a, np.int64), join(b, np.int64)
+        length = self.b - self.a
+        self.budget = np.clip((length - Q) // Q, 0, EDITS)
+        self.bound = length - Q + 1 - self.budget * Q
+        self.tiny = np.flatnonzero(length < Q)
+        self.begin_of = np.searchsorted(self.of, np.arange(len(self.ids) + 1))
+        usable = np.where(length < Q, np.iinfo(np.int64).max, self.bound)
+        self.needed = np.minimum.reduceat(usable, self.begin_of[:-1]) if len(self.ids) else np.empty(0, np.int64)
+        flat_hash, order = join(hashes, np.uint64), None
+        order = np.argsort(flat_hash, kind="stable")
+        self.item, self.place = join(items, np.int64)[order], join(places, np.int64)[order]
+        self.hash, self.begin, self.count = np.unique(flat_hash[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[(self.hash >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-        # q-gram lemma; a stretch too short for the bound still needs one shared q-gram, and one shorter than q passes on none
-        self.needed = np.array([max(1, n - Q + 1 - EDITS * Q) for n in self.shortest], np.int64)
-        self.exact = np.array([n - Q + 1 for n in self.shortest], np.int64)
-        self.tiny = [k for k, n in enumerate(self.shortest) if n < Q]
-
-
-def _packed(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-    """One sortable number for document (18 bits), item (17 bits) and diagonal (28 bits)."""
-    return (doc << 45) | (item << 28) | (diagonal + (1 << 27))
-
 
-def _candidates(index: ItemIndex, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (document, item, lowest diagonal) of the bands that meet the bound, and (document, item, diagonal) of
-    single diagonals with an unbroken run of shared q-grams as long as the item's shortest passage needs.
 
-    ``starts`` are the documents' offsets in ``codes``.
-    """
-    h = _grams(codes)
+def _hits(index: ItemIndex, flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every shared q-gram as (pair of document and item, place in the item, diagonal); pairs with fewer than any passage of the item needs are left out."""
+    none = np.empty(0, np.int64)
+    h = _grams(flat.letters)
     at = np.flatnonzero(index.seen[(h >> np.uint64(64 - index.BITS)).astype(np.int64)])
-    slot = np.searchsorted(index.hash, h[at])
-    slot[slot == len(index.hash)] = 0
-    hit = index.hash[slot] == h[at] if len(index.hash) else np.zeros(0, bool)
-    at, slot = at[hit], slot[hit]
-    if not len(at):
-        return np.empty((0, 3), np.int64), np.empty((0, 3), np.int64)
+    if not len(at) or not len(index.hash):
+        return none, none, none
+    slot = np.minimum(np.searchsorted(index.hash, h[at]), len(index.hash) - 1)
+    doc = flat.doc(at)
+    hit = (index.hash[slot] == h[at]) & (at + Q <= flat.starts[doc + 1])  # no q-gram reaches over the end of a text
+    at, slot, doc = at[hit], slot[hit], doc[hit]
     times = index.count[slot]
     entry = np.repeat(index.begin[slot] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-    place = np.repeat(at, times)
-    doc = np.searchsorted(starts, place, side="right") - 1
-    item = index.item[entry].astype(np.int64)
-    diagonal = place - starts[doc] - index.place[entry]
-
-    def unpack(keys: np.ndarray) -> np.ndarray:
-        return np.stack([keys >> 45, (keys >> 28) & 0x1FFFF, (keys & 0xFFFFFFF) - (1 << 27)], 1)
-
-    bands = []
+    item, place = index.item[entry], index.place[entry]
+    at, doc = np.repeat(at, times), np.repeat(doc, times)
+    pair = doc * len(index.ids) + item
+    _, which, n = np.unique(pair, return_inverse=True, return_counts=True)
+    enough = n[which] >= index.needed[item]
+    return pair[enough], place[enough], (at - flat.starts[doc] - place)[enough]
+
+
+def _regions(index: ItemIndex, pair: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Rows (pair, lowest diagonal of the band, passage, shared q-grams above the bound) of the passages that meet their bound within a band."""
+    if not len(pair):
+        return np.empty((0, 4), np.int64)
+    pairs, which = np.unique(pair, return_inverse=True)
+    wide, out = int(index.b.max()) + 1, []
     for shift in (0, BAND // 2):
-        keys, n = np.unique(_packed(doc, item, np.floor_divide(diagonal + shift, BAND) * BAND - shift), return_counts=True)
-        bands.append(keys[n >= index.needed[(keys >> 28) & 0x1FFFF]])
-    # hits come in order of place, so a stable sort by diagonal leaves the places of each diagonal ascending
-    keys = _packed(doc, item, diagonal)
-    order = np.argsort(keys, kind="stable")
-    keys, place = keys[order], place[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (place[1:] != place[:-1] + 1)])
-    first = np.flatnonzero(new)
-    run = np.diff(np.concatenate([first, [len(keys)]]))
-    exact = index.exact[(keys[first] >> 28) & 0x1FFFF]
-    return unpack(np.unique(np.concatenate(bands))), unpack(np.unique(keys[first][run >= exact]))
-
-
-def _aligned(index: ItemIndex, docs: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """Banded local alignment (match 1, edit -1) of each candidate; True where its score reaches that of a passage with EDITS edits."""
+        band = (diagonal + shift) // BAND
+        least, many = int(band.min()), int(band.max() - band.min()) + 1
+        if len(pairs) * many * wide >= 1 << 62:
+            raise OverflowError("too many documents, items and diagonals at once: lower CHUNK_CHARS or BLOCK_CHARS")
+        # one number for pair, band and place, so that a plain sort leaves the distinct places of every band together
+        keys = np.sort((which * many + band - least) * wide + place)
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        group = keys // wide
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        n, group = np.diff(np.concatenate([first, [len(keys)]])), group[first]
+        item = pairs[group // many] % len(index.ids)
+        enough = n >= index.needed[item]
+        group, item = group[enough], item[enough]
+        if not len(group):
+            continue
+        # every passage of the item against the places of the band: two searches in the sorted numbers
+        per = index.begin_of[item + 1] - index.begin_of[item]
+        run = np.repeat(group, per)
+        passage = np.repeat(index.begin_of[item] - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(per.sum())
+        a, b = index.a[passage], index.b[passage]
+        found = np.searchsorted(keys, run * wide + np.maximum(b - Q, a), side="right") - np.searchsorted(keys, run * wide + a, side="left")
+        more = found - index.bound[passage]
+        ok = (more >= 0) & (b - a >= Q)
+        out.append(np.stack([pairs[run[ok] // many], (run[ok] % many + least) * BAND - shift, passage[ok], more[ok]], 1))
+    return np.concatenate(out) if out else np.empty((0, 4), np.int64)
+
+
+def _aligned(index: ItemIndex, flat: Flat, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each region the edit distance of its passage to the best stretch of the document within the band, and the diagonal on which it ends."""
     width = BAND + 2 * EDITS
-    lengths = np.array([len(index.codes[k]) for k in rows[:, 1]])
-    score = np.zeros((len(rows), width), np.int32)
-    best = np.zeros(len(rows), np.int32)
-    step = np.arange(width, dtype=np.int32)
-    longest = int(lengths.max())
-    item = np.zeros((len(rows), longest), np.uint32)
-    strip = np.full((len(rows), longest + width), 0xFFFFFFFF, np.uint32)
-    for r, (d, k, low) in enumerate(rows):
-        item[r, : lengths[r]] = index.codes[k]
-        a = low - EDITS
-        b = min(len(docs[d]), a + lengths[r] + width)
-        if b > max(0, a):
-            strip[r, max(0, a) - a : b - a] = docs[d][max(0, a) : b]
+    passage, doc = rows[:, 2], rows[:, 0] // len(index.ids)
+    length, low = index.b[passage] - index.a[passage], rows[:, 1] - EDITS
+    longest = int(length.max())
+    want = np.zeros((len(rows), longest), np.uint32)
+    for r, (k, n) in enumerate(zip(passage.tolist(), length.tolist())):
+        a = index.a[k]
+        want[r, :n] = index.codes[index.of[k]][a : a + n]
+    begin, end = flat.starts[doc], flat.starts[doc + 1]
+    where = (begin + index.a[passage] + low)[:, None] + np.arange(longest + width)
+    inside = (where >= begin[:, None]) & (where < end[:, None])
+    strip = np.where(inside, flat.letters[np.clip(where, 0, len(flat.letters) - 1)], 0xFFFFFFFF)
+    # rows by length, so that those that are done lie behind; a cost above the budget needn't be exact
+    order = np.argsort(-length, kind="stable")
+    strip, want, length = strip[order], want[order], length[order]
+    cost = np.zeros((width, len(rows)), np.int16)
+    strip, want = np.ascontiguousarray(strip.T), np.ascontiguousarray(want.T)
+    live = np.searchsorted(-length, -np.arange(longest), side="left")
     for i in range(longest):
-        same = (strip[:, i : i + width] == item[:, i : i + 1]) & (i < lengths)[:, None]
-        score = np.where(same, score + 1, score - 1)
-        # an item character without counterpart comes from the next diagonal of the row before
-        score[:, :-1] = np.maximum(score[:, :-1], np.where(same[:, 1:], score[:, 1:] - 2, score[:, 1:]) )
-        # document characters without counterpart move along the row
-        score = np.maximum.accumulate(score + step, axis=1) - step
-        score = np.maximum(score, 0)
-        best = np.maximum(best, score.max(1))
-    return best >= np.array([index.shortest[k] for k in rows[:, 1]]) - 2 * EDITS
-
-
-def _holds(index: ItemIndex, k: int, codes: np.ndarray, begins: np.ndarray, may: np.ndarray, diagonal: int) -> bool:
-    """Whether ``min_words`` successive words of item k stand in the document on a diagonal."""
-    item, first = index.codes[k], index.starts[k]
-    a, b = index.bounds[k]
-    i0, i1 = max(0, -diagonal), min(len(item), len(codes) - diagonal)
-    if i1 - i0 < index.shortest[k]:
+        m = int(live[i])
+        now = cost[:, :m] + (strip[i : i + width, :m] != want[i, :m])
+        np.minimum(now[:-1], cost[1:, :m] + 1, out=now[:-1])  # a character of the passage without counterpart
+        for j in range(1, width):  # characters of the document without counterpart
+            np.minimum(now[j], now[j - 1] + 1, out=now[j])
+        cost[:, :m] = now
+    back = np.empty(len(rows), np.int64)
+    back[order] = np.arange(len(rows))
+    cost = cost.T[back]
+    best = cost.argmin(1)
+    return cost[np.arange(len(rows)), best], low + best
+
+
+def _same_words(index: ItemIndex, flat: Flat, doc: int, k: int, diagonal: int) -> bool:
+    """Whether a passage that stands on a diagonal letter by letter stands there word by word."""
+    a, b = int(index.a[k]), int(index.b[k])
+    x = int(flat.starts[doc]) + a + diagonal
+    if x < flat.starts[doc] or x + b - a > flat.starts[doc + 1]:
         return False
-    span = slice(i0 + diagonal, i1 + diagonal)
-    ok = (codes[span] == item[i0:i1]) & (~first[i0:i1] | may[span]) & (~begins[span] | first[i0:i1])
-    wrong = np.concatenate([[0], np.cumsum(~ok)])
-    inside = (a >= i0) & (b <= i1)
-    x, y = a[inside], b[inside]
-    return bool((may[y + diagonal] & (wrong[y - i0] == wrong[x - i0])).any())
-
-
-def leaked(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, object]]:
-    """(position of the document, id of the item) for every leak in a list of texts."""
-    docs, begins, may, out = [], [], [], []
-    for text in texts:
-        words, loose = visible_words(text or "")
-        codes = _codes("".join(words))
-        at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-        certain, possible = np.zeros(len(codes) + 1, bool), np.zeros(len(codes) + 1, bool)
-        possible[at] = True
-        if words:
-            certain[at[:-1]] = ~np.array(loose)
-        docs.append(codes)
-        begins.append(certain)
-        may.append(possible)
-    if not docs or not index.ids:
+    first, here = index.first[index.of[k]][a:b], slice(x, x + b - a)
+    same = (flat.letters[here] == index.codes[index.of[k]][a:b]).all()
+    return bool(same and (~first | flat.may[here]).all() and (~flat.certain[here] | first).all() and flat.may[x + b - a])
+
+
+def _anywhere(index: ItemIndex, flat: Flat, doc: int, region: np.ndarray, diagonal: int) -> bool:
+    """Whether a region's passage stands word by word on the given diagonal, or on another one of its band."""
+    k, low = int(region[2]), int(region[1])
+    if _same_words(index, flat, doc, k, diagonal):
+        return True
+    return any(_same_words(index, flat, doc, k, d) for d in range(low - EDITS, low + BAND + EDITS) if d != diagonal)
+
+
+def leaks(index: ItemIndex, texts: list[str]) -> list[tuple[int, int, int, bool]]:
+    """(position of the document, position of the item, fewest edits, whether word by word) for every leak in a list of shown texts."""
+    if not index.ids:
         return []
-    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]])
-    bands, runs = _candidates(index, np.concatenate(docs), starts)
-    verified: set[tuple[int, int]] = set()
-    for lo in range(0, len(bands), 2_000):
-        part = bands[lo : lo + 2_000]
-        verified.update((d, k) for d, k, _ in part[_aligned(index, docs, part)].tolist())
-    done: set[tuple[int, int]] = set()
-    for d, k, diagonal in runs.tolist():
-        if (d, k) in verified and (d, k) not in done and _holds(index, k, docs[d], begins[d], may[d], diagonal):
-            done.add((d, k))
-            out.append((d, index.ids[k]))
-    for k in index.tiny:  # a passage shorter than a q-gram shares none: every diagonal is looked at
-        for d, codes in enumerate(docs):
-            if (d, k) not in done and any(_holds(index, k, codes, begins[d], may[d], x) for x in range(-len(index.codes[k]), len(codes) + 1)):
-                done.add((d, k))
-                out.append((d, index.ids[k]))
-    return out
+    flat, n = Flat(texts), len(index.ids)
+    best: dict[int, int] = {}
+    exact: set[int] = set()
+
+    def verify(rows: np.ndarray) -> None:
+        for lo in range(0, len(rows), ALIGN_ROWS):
+            part = rows[lo : lo + ALIGN_ROWS]
+            cost, diagonal = _aligned(index, flat, part)
+            for i in np.flatnonzero(cost <= index.budget[part[:, 2]]).tolist():
+                pair, c = int(part[i, 0]), int(cost[i])
+                best[pair] = min(c, best.get(pair, c))
+                if c == 0 and pair not in exact and _anywhere(index, flat, pair // n, part[i], int(diagonal[i])):
+                    exact.add(pair)
+
+    # of each pair the most promising region first: where that shows the passage word by word, nothing can be better
+    rows = _regions(index, *_hits(index, flat))
+    rows = rows[np.lexsort((-rows[:, 3], rows[:, 0]))]
+    head = np.ones(len(rows), bool)
+    head[1:] = rows[1:, 0] != rows[:-1, 0]
+    verify(rows[head])
+    rest = rows[~head]
+    verify(rest[~np.isin(rest[:, 0], list(exact))])
+    for k in index.tiny.tolist():  # a passage shorter than a q-gram shares none: it is looked for as it stands
+        want = index.codes[index.of[k]][index.a[k] : index.b[k]].tobytes()
+        blob, at = flat.letters.tobytes(), -4
+        while (at := blob.find(want, at + 4)) >= 0:
+            if at % 4:
+                at -= at % 4
+                continue
+            doc = int(flat.doc(np.array([at // 4]))[0])
+            pair, d = doc * n + int(index.of[k]), at // 4 - int(flat.starts[doc]) - int(index.a[k])
+            if at // 4 + int(index.b[k] - index.a[k]) <= flat.starts[doc + 1]:
+                best[pair] = 0
+                if _same_words(index, flat, doc, k, d):
+                    exact.add(pair)
+    return [(p // n, p % n, c, p in exact) for p, c in sorted(best.items())]
+
+
+def chunks(sizes: pd.Series) -> pd.Series:
+    """A number for each text, the same for neighbours of CHUNK_CHARS together."""
+    return sizes.cumsum() // CHUNK_CHARS
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = 12) -> DataFrame:
-    """(item_id, doc_id) of every document that shows ``min_words`` successive words of an item."""
+    """One row per document and item of which it shows a passage: ids, edits (the fewest, EDITS at most), exact (min_words successive words, none edited)."""
     spark = docs.sparkSession
     queries = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
     chars = queries.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
     slim = spread(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter("d is not null and t is not null"))
     kinds = dict(docs.select(doc_id).dtypes) | dict(items.select(item_id).dtypes)
-    out = None
+    schema = f"{item_id} {kinds[item_id]}, {doc_id} {kinds[doc_id]}, edits int, exact boolean"
+    if blocks > 1:  # the corpus is brought to its shown form once, for all blocks
+        at = work_folder(spark, "shown")
+
+        def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"d": batch["d"], "t": [shown(t) for t in batch["t"]]})
+
+        slim.mapInPandas(show, f"d {kinds[doc_id]}, t string").write.parquet(at)
+        slim = spread(spark.read.parquet(at))
+    parts = []
     for b in range(blocks):
         block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        rows = block.orderBy("i").collect()
+        rows = block.orderBy("i").collect()  # about BLOCK_CHARS characters
         shared = spark.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], min_words))
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pd.DataFrame], shared=shared, ready=blocks > 1) -> Iterator[pd.DataFrame]:
             index = shared.value
             for batch in batches:
-                size = batch["t"].str.len().cumsum()
-                for _, part in batch.groupby(size // CHUNK_CHARS, sort=False):
+                for _, part in batch.groupby(chunks(batch["t"].str.len()), sort=False):
                     ids = part["d"].tolist()
-                    found = leaked(index, part["t"].tolist())
-                    yield pd.DataFrame({item_id: [i for _, i in found], doc_id: [ids[d] for d, _ in found]})
-
-        found = slim.mapInPandas(search, f"{item_id} {kinds[item_id]}, {doc_id} {kinds[doc_id]}")
-        out = found if out is None else out.unionByName(found)
-    return out
+                    found = leaks(index, [t if ready else shown(t) for t in part["t"]])
+                    yield pd.DataFrame({item_id: [index.ids[k] for _, k, _, _ in found], doc_id: [ids[d] for d, _, _, _ in found], "edits": [c for _, _, c, _ in found], "exact": [x for *_, x in found]})
+
+        found = slim.mapInPandas(search, schema)
+        if blocks == 1:
+            return found
+        parts.append(work_folder(spark, "leaks"))  # one block's index is alive at a time
+        found.write.parquet(parts[-1])
+        shared.destroy()
+    return spark.read.schema(schema).parquet(*parts)
