@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.grid import ZONE, bucket_floor, bucket_grid, bucket_start, range_start, transform
 from tidemark.operators.intervals import asof_join, covered_whole, silences, subtract
-from tidemark.operators.ledger import decode_cursor, encode_cursor, keyset, next_cursor, page
+from tidemark.operators.ledger import Listing, detail_and_count, plan_facts
 from tidemark.operators.lives import fold_lives
 from tidemark.operators.quality import check_json, closure, cycles, json_schema
 from tidemark.operators.simulate import Model, mulberry32, rk4
@@ -162,27 +162,41 @@ def test_silences(spark):
     assert [tuple(r) for r in silences(df, ["c"], "t", 10.0).collect()] == [("a", 5.0, 20.0)]
 
 
+@pytest.mark.parametrize("sort", ["price_eth", "token_num", "maker"])
 @pytest.mark.parametrize("descending", [True, False])
-def test_keyset_walks_everything_once(spark, descending):
-    rnd = random.Random(9)
-    rows = [("r", i, rnd.choice([None, 1.0, 2.0, 2.0, 3.0]), "m", "t", "x", "k", 0.0, "c", "h") for i in range(47)]
-    df = spark.createDataFrame(rows, "run string, seq long, price_eth double, maker string, taker string, event_type string, token_id string, valid_ts double, collection string, order_hash string")
-    seen, cursor = [], None
-    for _ in range(20):
-        shown, mark = page(df, "price", descending, 10, {}, cursor)
-        got = shown.collect()
-        seen += [(r["price_eth"], r["seq"]) for r in got]
-        if len(got) < 10:
+def test_pages_walk_everything_once(spark, sort, descending):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["r1", "r2"]), i, rnd.choice([None, 1.0, 2.5, 0.1 + 0.2, rnd.random()]), rnd.choice([None, "9", "10", "007", "x"]), rnd.choice([None, "m", "n", 'o"{'])) for i in range(95)]
+    df = spark.createDataFrame(rows, "run string, seq long, price_eth double, token_id string, maker string")
+    listing, seen, mark = Listing(df, sort, descending), [], None
+    while True:
+        shown = listing.page(20, mark)
+        got = [(r[sort], r["run"], r["seq"]) for r in shown.collect()]
+        seen += got
+        mark = listing.mark(shown)
+        if mark is None:
             break
-        cursor = next_cursor(shown, "price", descending, mark)
-    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
-    assert seen == sorted(((r[2], r[1]) for r in rows), key=key, reverse=descending)
-    with pytest.raises(ValueError):
-        page(df, "price", not descending, 10, {}, cursor)
-    with pytest.raises(ValueError):
-        page(df, "quantity", True, 10, {})
-    assert decode_cursor(encode_cursor({"a": [None, 1]})) == {"a": [None, 1]}
-    assert df.filter(keyset(["price_eth", "seq"], [None, 3], True)).filter("price_eth is not null").count() == 0
+        last = mark
+    low = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+    assert len(seen) == 95 and seen == sorted(seen, key=low, reverse=descending)
+    for other in (Listing(df, sort, not descending), Listing(df, sort, descending, {"maker": "m"})):
+        with pytest.raises(ValueError):
+            other.page(10, last)
+    for call in (lambda: listing.page(10, "not a mark"), lambda: listing.page(501), lambda: Listing(df, "token_id", True), lambda: Listing(df, "nothing", True)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_listing_filters_and_plan(spark, tmp_path):
+    rows = spark.createDataFrame([("r", i, float(i), "c", str(i), 0.5) for i in range(40)], "run string, seq long, valid_ts double, collection string, token_id string, price_eth double")
+    tags = spark.createDataFrame([("c", str(i), "Hull", "Oak" if i % 2 else "Elm") for i in range(40)], "collection string, token_id string, trait_type string, value string")
+    listing = Listing(rows, "valid_ts", True, {"collection": "c", "tokens": (5, 20)}, {"Hull": ["Oak"]}, tags)
+    assert [r["seq"] for r in listing.page(100).collect()] == [19, 17, 15, 13, 11, 9, 7, 5]
+    rows.write.parquet(f"file://{tmp_path}/p")
+    facts = plan_facts(Listing(spark.read.parquet(f"file://{tmp_path}/p"), "valid_ts", True, {"collection": "c"}).page(10).select("run", "seq", "valid_ts"))
+    assert facts["top_n"] == 1 and facts["sorts"] == 0 and len(facts["scans"]) == 1 and "EqualTo(collection,c)" in facts["scans"][0]["pushed"] and "price_eth" not in facts["scans"][0]["columns"]
+    shown, n = detail_and_count(rows, [F.desc("seq")], 3)
+    assert [r["seq"] for r in shown.collect()] == [39, 38, 37] and n.first()[0] == 40
 
 
 def test_filters():

@@ -19,11 +19,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.operators.ordered import running_total
-from tidemark.operators.store import VersionedStore
-from tidemark.session import remove
+from tidemark.operators.ordered import cumulate, range_sorted, running_total
+from tidemark.operators.store import VersionedStore, splits_for
+from tidemark.session import cut, remove
 
 HOUR_MS = 3_600_000
 IN_TIME, CORRECTION, REFUSED = 0, 1, 2
@@ -63,8 +63,8 @@ class PeriodCounts:
     SCHEMA = "key string, period bigint, round int, value double, n bigint"
     STRETCH, SPREAD = 24, 4
 
-    def __init__(self, spark: SparkSession, path: str, splits: int = 64):
-        """``splits``: buckets; a store keeps the number it began with."""
+    def __init__(self, spark: SparkSession, path: str, splits: int | None = None):
+        """``splits``: buckets; as many as shuffle partitions if not given; a store keeps the number it began with."""
         self.store, self.spark, self.splits = VersionedStore(spark, path), spark, splits
 
     def merge(self, delta: DataFrame, batch_id: str, closed_before: int | None = None) -> None:
@@ -72,7 +72,7 @@ class PeriodCounts:
         if self.store.done(batch_id):
             return
         state = self.store.state()
-        splits = state["meta"].get("splits", self.splits)
+        splits = splits_for(self.spark, self.splits, state)
         stretch = F.pmod(F.xxhash64(F.expr(f"period div {self.STRETCH}")), F.lit(max(1, splits // self.SPREAD)))
         split = (stretch * self.SPREAD + F.pmod(F.xxhash64("key", "value"), F.lit(self.SPREAD))).cast("int")
         held = state["parts"].get("open", {})
@@ -114,16 +114,36 @@ def weighted_median(counts: DataFrame, keys: list[str], value: str, n: str) -> D
     return at.groupBy(*keys).agg(((F.min(F.when(holds(low), F.col(value))) + F.min(F.when(holds(high), F.col(value)))) / 2).alias("median"))
 
 
+def issues(counts: DataFrame, rounds: dict[str, int]) -> DataFrame:
+    """Aggregates per period as issued with the rounds up to a number, for several such issues at once: n, n_values, n_distinct, lowest, highest and median, each with the issue's name behind.
+
+    A period that has nothing yet in an issue has zeros and nulls there. All
+    issues share one ordered pass over the values with a running count for each.
+    """
+    by, v = ["key", "period"], F.col("value")
+    upto = {k: F.coalesce(F.sum(F.when(F.col("round") <= r, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k, r in rounds.items()}
+    taken = cut(counts.filter(F.col("round") <= max(rounds.values())).groupBy(*by, "value").agg(*upto.values()))
+    here = lambda k: F.when(F.col(f"n_{k}") > 0, v)
+    plain = taken.groupBy(*by).agg(*[
+        x.alias(f"{name}_{k}") for k in rounds for name, x in (
+            ("n", F.sum(f"n_{k}")), ("n_values", F.coalesce(F.sum(F.when(v.isNotNull(), F.col(f"n_{k}"))), F.lit(0))), ("n_distinct", F.count(here(k))), ("lowest", F.min(here(k))), ("highest", F.max(here(k))),
+        )
+    ])
+    ordered = cumulate(range_sorted(taken.filter("value is not null"), by, ["value"]), by, ["value"], {f"upto_{k}": F.col(f"n_{k}") for k in rounds})
+    at = ordered.join(plain.select(*by, *[F.col(f"n_values_{k}").alias(f"all_{k}") for k in rounds]), by)
+
+    def middle(k: str) -> Column:
+        holds = lambda m: (F.col(f"upto_{k}") >= m) & (F.col(f"upto_{k}") - F.col(f"n_{k}") < m)
+        low, high = F.floor((F.col(f"all_{k}") + 1) / 2), F.floor((F.col(f"all_{k}") + 2) / 2)
+        return (F.min(F.when(holds(low), v)) + F.min(F.when(holds(high), v))) / 2
+
+    return plain.join(at.groupBy(*by).agg(*[middle(k).alias(f"median_{k}") for k in rounds]), by, "left")
+
+
 def issue(counts: DataFrame, upto: int) -> DataFrame:
-    """Aggregates per period as issued with the rounds up to ``upto``: n, n_values, distinct, lowest, highest, median."""
-    by = ["key", "period"]
-    taken = counts.filter(F.col("round") <= upto).groupBy(*by, "value").agg(F.sum("n").alias("n"))
-    plain = taken.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"),
-        F.count("value").alias("n_distinct"), F.min("value").alias("lowest"), F.max("value").alias("highest"),
-    )
-    return plain.join(weighted_median(taken.filter("value is not null"), by, "value", "n"), by, "left")
+    """One issue, of the periods that have something in it: n, n_values, n_distinct, lowest, highest, median."""
+    names = ["n", "n_values", "n_distinct", "lowest", "highest", "median"]
+    return issues(counts, {"x": upto}).filter("n_x > 0").select("key", "period", *[F.col(f"{c}_x").alias(c) for c in names])
 
 
 def marks(counts: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.operators.store import VersionedStore, split_of
+from tidemark.operators.store import VersionedStore, split_of, splits_for
 from tidemark.session import remove
 
 #: A dictionary of at most this many rows is broadcast (about 100 bytes each); a larger one is joined by shuffle, where
@@ -41,8 +41,8 @@ class SeenBitmaps:
     CODES, BITS = "__text string, __gen int, __code bigint", "__gen int, __code bigint, __bucket bigint, __bits binary"
     SHARD = ["__gen", "__code", "__bucket"]
 
-    def __init__(self, spark: SparkSession, path: str, text_id: str, long_id: str, splits: int = 64):
-        """``splits``: buckets of the bitmaps; a batch rewrites those that its shards fall into. A store keeps the number it began with."""
+    def __init__(self, spark: SparkSession, path: str, text_id: str, long_id: str, splits: int | None = None):
+        """``splits``: buckets of the bitmaps; a batch rewrites those that its shards fall into. As many as shuffle partitions if not given; a store keeps the number it began with."""
         self.store, self.spark, self.text_id, self.long_id, self.splits = VersionedStore(spark, path), spark, text_id, long_id, splits
 
     def _dictionary(self, batch: DataFrame, state: dict) -> tuple[DataFrame, dict[int, str], int]:
@@ -61,7 +61,7 @@ class SeenBitmaps:
         if self.store.done(batch_id):
             return self.spark.read.parquet(*self._result(batch_id))
         state = self.store.state()
-        splits = state["meta"].get("splits", self.splits)
+        splits = splits_for(self.spark, self.splits, state)
         codes, new_codes, n_codes = self._dictionary(batch, state)
         if n_codes <= MAX_BROADCAST_CODES:
             codes = F.broadcast(codes)

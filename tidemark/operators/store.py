@@ -35,6 +35,11 @@ def split_of(keys: list[str], n: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n)).cast("int")
 
 
+def splits_for(spark: SparkSession, given: int | None, state: dict) -> int:
+    """Buckets of a store: as many as it began with, else the given number, else the session's shuffle partitions."""
+    return state["meta"].get("splits") or given or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 class VersionedStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path

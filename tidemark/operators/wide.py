@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.typed import attribute_key, strip_blanks, typed_text
-from tidemark.operators.store import VersionedStore
+from tidemark.operators.store import VersionedStore, splits_for
 
 #: Up to so many declared attributes are broadcast to the rows; more are met by a shuffle join.
 BROADCAST_ATTRIBUTES = 5_000
@@ -136,13 +136,13 @@ class WideStore:
     began with.
     """
 
-    def __init__(self, spark: SparkSession, path: str, types: DataFrame, entity: list[str], fan_out: int = 4, splits: int = 16):
+    def __init__(self, spark: SparkSession, path: str, types: DataFrame, entity: list[str], fan_out: int = 4, splits: int | None = None):
         self.store, self.types, self.entity, self.fan_out, self.spark, self.splits = VersionedStore(spark, path), types, entity, fan_out, spark, splits
 
     def upsert(self, rows: DataFrame, batch_id: str, attribute: str, value: str, version: str | None = None) -> None:
         if self.store.done(batch_id):
             return
-        splits = self.store.state()["meta"].get("splits", self.splits)
+        splits = splits_for(self.spark, self.splits, self.store.state())
         delta = wide_delta(rows, self.types, self.entity, attribute, value, version, splits)
         if version:  # a batch of another version type mustn't get into the store
             _one_version_type([*self._read_runs(), delta])
@@ -190,7 +190,7 @@ class WideStore:
         schema = self.spark.read.parquet(at).schema
         by = ", ".join(f"`{e}`" for e in self.entity)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        splits = self.store.state()["meta"].get("splits", self.splits)
+        splits = splits_for(self.spark, self.splits, self.store.state())
         self.spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {splits} BUCKETS LOCATION '{at}'")
         run = self.spark.table(name)
         self.spark.sql(f"DROP TABLE {name}")  # the frame knows its files; the catalog keeps nothing

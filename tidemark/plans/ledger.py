@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.operators.late import first_copies
-from tidemark.operators.ledger import capped_count, next_cursor, page, where
+from tidemark.operators.ledger import Listing, capped_count, where
 from tidemark.operators.lives import standing_at
 from tidemark.operators.rollup import from_rollup, hourly
 from tidemark.operators.skew import skew_aggregate
@@ -27,25 +27,31 @@ def _priced(rows: DataFrame) -> DataFrame:
     return rows.withColumn("price_eth", F.when(~F.isnan("price_eth"), F.col("price_eth")))
 
 
+def _listing(spark: SparkSession, d: str, descending: bool, filters: dict) -> Listing:
+    return Listing(_priced(_messages(spark, d, "cobalt-keepers")), "price_eth", descending, filters)
+
+
 def page_1(spark: SparkSession, d: str) -> DataFrame:
-    rows, lives = _priced(_messages(spark, d, "cobalt-keepers")), table(spark, d, "order_lives").select("order_hash", "exit_reason", "t_term")
-    shown, _ = page(rows, "price", True, 200, FILTERS)
+    lives = table(spark, d, "order_lives").select("order_hash", "exit_reason", "t_term")
+    shown = _listing(spark, d, True, FILTERS).page(200)
     return shown.join(lives, "order_hash", "left").withColumn("lag_s", F.round(F.col("observed_ts") - F.col("valid_ts"), 6)).select("run", "seq", "event_type", "price_eth", "valid_ts", "exit_reason", "t_term", "lag_s")
 
 
 def page_2(spark: SparkSession, d: str) -> DataFrame:
-    rows = _priced(_messages(spark, d, "cobalt-keepers"))
-    first, mark = page(rows, "price", True, 100, FILTERS)
-    second, _ = page(rows, "price", True, 100, FILTERS, next_cursor(first, "price", True, mark))
-    return second.select("run", "seq", "event_type", "price_eth", "valid_ts")
+    listing = _listing(spark, d, True, FILTERS)
+    return listing.page(100, listing.mark(listing.page(100))).select("run", "seq", "event_type", "price_eth", "valid_ts")
 
 
 def nulls_asc(spark: SparkSession, d: str) -> DataFrame:
-    filters = {"collection": "cobalt-keepers"}
-    rows = _priced(_messages(spark, d, "cobalt-keepers"))
-    first, mark = page(rows, "price", False, 300, filters)
-    second, _ = page(rows, "price", False, 300, filters, next_cursor(first, "price", False, mark))
-    return second.select("run", "seq", "price_eth")
+    listing = _listing(spark, d, False, {"collection": "cobalt-keepers"})
+    return listing.page(300, listing.mark(listing.page(300))).select("run", "seq", "price_eth")
+
+
+def by_token(spark: SparkSession, d: str) -> DataFrame:
+    """The second page by token number of the rows in a range of numbers."""
+    rows = _priced(_messages(spark, d, "ember-beetles"))
+    listing = Listing(rows, "token_num", False, {"collection": "ember-beetles", "tokens": (1, 900)})
+    return listing.page(200, listing.mark(listing.page(200))).select("run", "seq", "token_id", "token_num")
 
 
 def count(spark: SparkSession, d: str) -> DataFrame:
@@ -65,11 +71,14 @@ def tape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _book(kind: str, descending: bool):
+    """The 25 best standing orders of a kind in every collection, with the depth of its whole book."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        live = standing_at(table(spark, d, "order_lives"), NOW).filter((F.col("collection") == "ember-beetles") & (F.col("event_type") == kind) & F.col("price_eth").isNotNull() & ~F.isnan("price_eth"))
-        price = F.desc("price_eth") if descending else F.asc("price_eth")
-        top = live.orderBy(price, "order_hash").limit(25).select("order_hash", "price_eth", "token_id", "quantity")
-        return top.withColumn("depth", live.agg(F.sum(F.greatest(F.lit(1), F.coalesce("quantity", F.lit(1))))).scalar())
+        live = standing_at(table(spark, d, "order_lives"), NOW).filter((F.col("event_type") == kind) & F.col("collection").isNotNull() & F.col("price_eth").isNotNull() & ~F.isnan("price_eth"))
+        best = W.partitionBy("collection").orderBy(F.desc("price_eth") if descending else F.asc("price_eth"), "order_hash")
+        top = live.select("collection", "order_hash", "price_eth", "token_id", "quantity", F.row_number().over(best).alias("place")).filter("place <= 25")
+        depth = live.groupBy("collection").agg(F.sum(F.greatest(F.lit(1), F.coalesce("quantity", F.lit(1)))).alias("depth"))
+        return top.join(depth, "collection")
 
     return run
 
@@ -143,13 +152,16 @@ def rollup(spark: SparkSession, d: str) -> DataFrame:
 _M = "m AS (SELECT run, seq, observed_ts, event_type, collection, token_id, maker, taker, price_eth, valid_ts, order_hash FROM market_events QUALIFY row_number() OVER (PARTITION BY run, seq ORDER BY observed_ts, collection NULLS FIRST, token_id NULLS FIRST, maker NULLS FIRST, taker NULLS FIRST, price_eth NULLS FIRST, valid_ts NULLS FIRST) = 1)"
 _P = f"{_M}, p AS (SELECT * REPLACE (CASE WHEN NOT isnan(price_eth) THEN price_eth END AS price_eth) FROM m WHERE collection = 'cobalt-keepers')"
 _F = f"valid_ts >= {START} AND event_type IN ('item_listed', 'item_received_bid', 'item_sold')"
-_LIVE = f"placement_seen = 1 AND t_place <= {NOW} AND exit_reason <> 'unknown' AND (t_term IS NULL OR t_term > {NOW}) AND (expiration_ts IS NULL OR expiration_ts > {NOW}) AND collection = 'ember-beetles' AND price_eth IS NOT NULL AND NOT isnan(price_eth)"
+_LIVE = f"placement_seen = 1 AND t_place <= {NOW} AND exit_reason <> 'unknown' AND (t_term IS NULL OR t_term > {NOW}) AND (expiration_ts IS NULL OR expiration_ts > {NOW}) AND price_eth IS NOT NULL AND NOT isnan(price_eth)"
 _W = "w AS (SELECT maker, count(*) AS events, count(*) FILTER (event_type = 'item_listed') AS listed, count(*) FILTER (event_type IN ('item_received_bid', 'collection_offer', 'trait_offer')) AS bid, count(*) FILTER (event_type = 'item_cancelled') AS cancelled, count(*) FILTER (event_type = 'item_sold') AS sold, min(valid_ts) AS first_ts, max(valid_ts) AS last_ts, max(price_eth) FILTER (event_type = 'item_sold' AND NOT isnan(price_eth)) AS dearest FROM market_events WHERE maker IS NOT NULL GROUP BY maker)"
 _SOLD = "s AS (SELECT maker, taker, CASE WHEN NOT isnan(price_eth) THEN price_eth END AS v FROM market_events WHERE event_type = 'item_sold' AND maker IS NOT NULL AND taker IS NOT NULL)"
 
 
 def _book_sql(kind: str, way: str) -> str:
-    return f"WITH l AS (SELECT * FROM order_lives WHERE {_LIVE} AND event_type = '{kind}') SELECT order_hash, price_eth, token_id, quantity, (SELECT CAST(sum(greatest(1, coalesce(quantity, 1))) AS BIGINT) FROM l) AS depth FROM l ORDER BY price_eth {way}, order_hash LIMIT 25"
+    return (
+        f"WITH l AS (SELECT * FROM order_lives WHERE {_LIVE} AND event_type = '{kind}' AND collection IS NOT NULL) SELECT collection, order_hash, price_eth, token_id, quantity,"
+        f" CAST(row_number() OVER (PARTITION BY collection ORDER BY price_eth {way}, order_hash) AS INTEGER) AS place, CAST(sum(greatest(1, coalesce(quantity, 1))) OVER (PARTITION BY collection) AS BIGINT) AS depth FROM l QUALIFY place <= 25"
+    )
 
 
 QUERIES = {
@@ -159,6 +171,11 @@ QUERIES = {
     ),
     "ledger_page_2": (page_2, f"WITH {_P} SELECT run, seq, event_type, price_eth, valid_ts FROM p WHERE {_F} ORDER BY price_eth DESC NULLS LAST, run DESC, seq DESC LIMIT 100 OFFSET 100"),
     "ledger_nulls_asc": (nulls_asc, f"WITH {_P} SELECT run, seq, price_eth FROM p ORDER BY price_eth ASC NULLS FIRST, run, seq LIMIT 300 OFFSET 300"),
+    "ledger_tokens": (
+        by_token,
+        f"WITH {_M}, t AS (SELECT run, seq, token_id, CASE WHEN CAST(TRY_CAST(token_id AS BIGINT) AS VARCHAR) = token_id THEN TRY_CAST(token_id AS BIGINT) END AS token_num FROM m WHERE collection = 'ember-beetles')"
+        " SELECT * FROM t WHERE token_num BETWEEN 1 AND 900 ORDER BY token_num, run, seq LIMIT 200 OFFSET 200",
+    ),
     "ledger_count": (count, f"SELECT least(count(*), 5000) AS n, count(*) <= 5000 AS exact FROM market_events WHERE valid_ts >= {START} AND price_eth IS NOT NULL AND NOT isnan(price_eth)"),
     "ledger_chart": (
         chart,

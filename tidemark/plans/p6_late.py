@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.times import duck_us, instant_ms, instant_us
-from tidemark.operators.late import CORRECTION, HOUR_MS, IN_TIME, PeriodCounts, first_copies, issue, marks, value_counts
+from tidemark.operators.late import CORRECTION, HOUR_MS, IN_TIME, PeriodCounts, first_copies, issues, marks, value_counts
 from tidemark.operators.once import arrival_batches, arrival_edges
 from tidemark.session import cut, table, work_folder
 
@@ -39,13 +39,10 @@ def found(spark: SparkSession, d: str) -> DataFrame:
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
     state = counts(spark, d)
-    names = ["n", "n_values", "n_distinct", "lowest", "highest", "median"]
-    first = issue(state, IN_TIME).withColumnsRenamed({c: f"{c}_first" for c in names})
-    final = issue(state, CORRECTION).withColumnsRenamed({c: f"{c}_final" for c in names})
+    both = issues(state, {"first": IN_TIME, "final": CORRECTION})
     refused = state.filter("round = 2").groupBy("key", "period").agg(F.sum("n").alias("n_refused"))
-    out = final.join(first, ["key", "period"], "left").join(refused, ["key", "period"], "full")
-    zero = {f"{c}_{k}": 0 for c in names[:3] for k in ("first", "final")} | {"n_refused": 0}
-    return out.fillna(zero).withColumnsRenamed({"key": "collection", "period": "hour"})
+    zero = {f"{c}_{k}": 0 for c in ("n", "n_values", "n_distinct") for k in ("first", "final")} | {"n_refused": 0}
+    return both.join(refused, ["key", "period"], "full").fillna(zero).withColumnsRenamed({"key": "collection", "period": "hour"})
 
 
 _BASE = f"""

@@ -17,7 +17,7 @@ from tidemark.operators.late import HOUR_MS, PeriodCounts, value_counts
 from tidemark.operators.lives import fold_lives
 from tidemark.operators.once import SeenBitmaps
 from tidemark.operators.rollup import hourly
-from tidemark.operators.store import VersionedStore, split_of
+from tidemark.operators.store import VersionedStore, split_of, splits_for
 from tidemark.session import cut
 from tidemark.sources.envelopes import ENVELOPE, order_criteria, parse_envelopes
 
@@ -41,10 +41,10 @@ class LiveFold:
     #: Folders of a bucket's history before they are written as one.
     RUNS = 32
 
-    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float], method: int = 1, splits: int = 64):
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float], method: int = 1, splits: int | None = None):
         self.seen, self.events, self.lives = SeenBitmaps(spark, f"{path}/seen", "run", "seq"), VersionedStore(spark, f"{path}/events"), VersionedStore(spark, f"{path}/lives")
         self.spark, self.clock, self.method = spark, clock, method
-        self.splits = self.events.state()["meta"].get("splits", splits)
+        self.splits = splits_for(spark, splits, self.events.state())
 
     def _split(self) -> Column:
         return split_of(["order_hash"], self.splits)
@@ -113,9 +113,9 @@ class HourlyRollup:
     KEYS = ["collection", "hour", "maker", "event_type"]
     SPREAD = 4
 
-    def __init__(self, spark: SparkSession, path: str, splits: int = 64):
+    def __init__(self, spark: SparkSession, path: str, splits: int | None = None):
         self.seen, self.store = SeenBitmaps(spark, f"{path}/seen", "run", "seq"), VersionedStore(spark, f"{path}/rollup")
-        self.splits = self.store.state()["meta"].get("splits", splits)
+        self.splits = splits_for(spark, splits, self.store.state())
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         name = f"{epoch:012d}"
@@ -147,10 +147,10 @@ class LatePeriods:
 
     COPY = "run string, seq bigint, observed_ms bigint, event_ms bigint, collection string, price_eth double"
 
-    def __init__(self, spark: SparkSession, path: str, grace_ms: int, cutoff_ms: int, splits: int = 64):
+    def __init__(self, spark: SparkSession, path: str, grace_ms: int, cutoff_ms: int, splits: int | None = None):
         self.seen, self.counts, self.limits = SeenBitmaps(spark, f"{path}/seen", "run", "seq"), PeriodCounts(spark, f"{path}/counts"), (grace_ms, cutoff_ms)
         self.copies, self.spark = VersionedStore(spark, f"{path}/copies"), spark
-        self.splits = self.copies.state()["meta"].get("splits", splits)
+        self.splits = splits_for(spark, splits, self.copies.state())
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         name = f"{epoch:012d}"
