@@ -77,24 +77,30 @@ class PeriodCounts:
         split = (stretch * self.SPREAD + F.pmod(F.xxhash64("key", "value"), F.lit(self.SPREAD))).cast("int")
         held = state["parts"].get("open", {})
         closed = max((x for x in (state["meta"].get("closed"), closed_before) if x is not None), default=None)
-        names = self.read().columns
-        written = self.store.write_split(delta.select(*names), "new", split)
-        touched = {int(k) for k in written} | ({int(k) for k in held} if closed != state["meta"].get("closed") else set())
+        delta = delta.select(*[f.split()[0] for f in self.SCHEMA.split(", ")])
         added: dict[str, dict[int, str]] = {}
-        if any(str(k) in held for k in touched) or closed is not None:
-            rows = self.store.read("open", self.SCHEMA, sorted(touched))
-            if written:
-                rows = rows.unionByName(self.spark.read.schema(self.SCHEMA).parquet(*written.values()))
-            both = rows.groupBy(split.alias("__by"), "key", "period", "round", "value").agg(F.sum("n").alias("n")).drop("__by").filter("n <> 0")
-            offset = splits + self.SPREAD
-            over = F.lit(False) if closed is None else F.col("period") < closed
-            again = self.store.write_split(both, "open", F.when(over, split + offset).otherwise(split))
-            added["closed"] = {k - offset: at for k, at in again.items() if k >= offset}
-            for at in written.values():
-                remove(self.spark, at)
-            written = {k: again.get(k) for k in touched}
+        if closed == state["meta"].get("closed"):  # only the buckets that the batch falls into
+            written = self.store.write_split(delta, "new", split)
+            if any(str(k) in held for k in written) or closed is not None:
+                fresh = written
+                touched, delta = set(fresh), self.spark.read.schema(self.SCHEMA).parquet(*fresh.values()) if fresh else delta.limit(0)
+                written, added = self._united(delta, sorted(touched), closed, split, splits)
+                for at in fresh.values():
+                    remove(self.spark, at)
+        else:  # closing looks at all that is open
+            written, added = self._united(delta, [int(k) for k in held], closed, split, splits)
         self.store.commit(batch_id, {"open": written}, added, {"splits": splits, "closed": closed}, state["version"])
 
+    def _united(self, delta: DataFrame, touched: list[int], closed: int | None, split: Column, splits: int) -> tuple[dict[int, str | None], dict[str, dict[int, str]]]:
+        """Write the open buckets ``touched`` with a batch's counts added; (the new folders, what has been closed)."""
+        rows = self.store.read("open", self.SCHEMA, touched).unionByName(delta)
+        both = rows.groupBy(split.alias("__by"), "key", "period", "round", "value").agg(F.sum("n").alias("n")).drop("__by").filter("n <> 0")
+        offset = splits + self.SPREAD
+        over = F.lit(False) if closed is None else F.col("period") < closed
+        again = self.store.write_split(both, "open", F.when(over, split + offset).otherwise(split))
+        open_ = {k: at for k, at in again.items() if k < offset}
+        return dict.fromkeys(touched) | open_, {"closed": {k - offset: at for k, at in again.items() if k >= offset}}
+
     def read(self) -> DataFrame:
         """All counts, open and closed."""
         rows = self.store.read("open", self.SCHEMA)

@@ -74,6 +74,17 @@ def segments(legs: dict[str, tuple[DataFrame, str]], bucket_ms: int) -> DataFram
     return both.select(*KEY, "t0", "t1", *[c.alias(n) for n, c in merge.items()])
 
 
+def covered_buckets(intervals: DataFrame, bucket_ms: int, by: list[str] | None = None) -> DataFrame:
+    """key, bucket and n, the number of intervals that touch it: counted where they begin and end, not bucket by bucket."""
+    by = by or ["key"]
+    first, behind = F.expr(f"a div {bucket_ms}"), F.expr(f"(z - 1) div {bucket_ms} + 1")
+    change = F.explode(F.array(F.struct(first.alias("i"), F.lit(1).alias("d")), F.struct(behind.alias("i"), F.lit(-1).alias("d"))))
+    steps = intervals.select(*by, change.alias("x")).groupBy(*by, "x.i").agg(F.sum("x.d").alias("d"))
+    order = W.partitionBy(*by).orderBy("i")  # a row per bucket at most
+    run = steps.select(*by, "i", F.lead("i").over(order).alias("until"), F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("n")).filter("n > 0")
+    return run.select(*by, F.explode(F.sequence("i", F.col("until") - 1)).alias("i"), "n").select(*by, (F.col("i") * bucket_ms).alias("bucket"), "n")
+
+
 def time_weighted(segs: DataFrame, by: list[str], value: str, weight: Column, quantiles: dict[str, float]) -> DataFrame:
     """Smallest value whose cumulated weight reaches the share of the total, per quantile, and the total (``weight``); weights are whole numbers."""
     w = segs.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.sum(weight).alias("__w"))
@@ -87,7 +98,7 @@ def standing_series(intervals: DataFrame, want: str, bucket_ms: int, min_n: int
     """Per key and bucket: time-weighted median, p10 and p90 (null under ``min_n`` lives), live seconds, lives."""
     segs = segments({"best": (intervals, want)}, bucket_ms)
     q = time_weighted(segs, KEY, "best", F.col("t1") - F.col("t0"), {"median": 0.5, "p10": 0.1, "p90": 0.9})
-    n = pieces(intervals, bucket_ms).groupBy(*KEY).agg(F.count_distinct("id").alias("n"))
+    n = covered_buckets(intervals, bucket_ms)
     enough = lambda c: F.when(F.col("n") >= min_n, F.col(c)).alias(c)
     return q.join(n, KEY).select("key", F.expr("bucket div 1000").alias("bucket"), "median", enough("p10"), enough("p90"), "n", (F.col("weight") / 1000).alias("live_s"))
 
