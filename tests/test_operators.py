@@ -329,6 +329,27 @@ def test_late_stream_takes_the_first_observed_copy(spark, tmp_path):
     assert counts() == [(0, 1.0, 1), (0, 8.0, 1)]
 
 
+def test_package_reaches_the_workers(tmp_path):
+    """Started from elsewhere, with the package on the driver's path only."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from tidemark.session import build_session, table
+from tidemark.operators.simulate import simulate
+from tidemark.plans import simulation
+spark = build_session("t", "local[2]")
+table(spark, {os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")!r}, "region")
+print("rows", simulation.baseline(spark, "").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 148" in out.stdout, out.stderr[-2000:]
+
+
 def test_json_schema(spark):
     schema = {"type": "object", "required": ["id"], "additionalProperties": False, "properties": {"id": {"type": "string", "pattern": "^[a-z]+$"}, "n": {"type": "integer", "minimum": 0}, "t": {"type": "array", "uniqueItems": True, "items": {"enum": [1, True]}}, "u": {"oneOf": [{"type": "string"}, {"type": "number"}]}}, "if": {"required": ["n"]}, "then": {"required": ["t"]}}
     bad = lambda v: sorted(w for _, w, _ in check_json(v, schema, schema))

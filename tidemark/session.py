@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +31,24 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once an application; Spark's own file server carries it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="tidemark-code-"))  # on the driver only, for its file server
+    atexit.register(shutil.rmtree, str(folder), ignore_errors=True)
+    with zipfile.ZipFile(folder / f"{here.name}.zip", "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    sc.addPyFile(str(folder / f"{here.name}.zip"))
+    sc._tidemark_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
