@@ -35,7 +35,8 @@ def read_landing(spark: SparkSession, path: str, tolerant: bool = True, files: l
     # lines reach the parser one by one, so a file that breaks off gives all complete lines before its end
     lines = spark.read.option("basePath", path).option("ignoreCorruptFiles", "true").text(files or path).withColumn("file", F.col("_metadata.file_path"))
     read = lines.withColumn("e", F.from_json("value", ENVELOPE)).filter("e._seq is not null")
-    return read.select("e.*", F.col("dt").cast("string").alias("dt"), F.lpad(F.col("hour").cast("string"), 2, "0").alias("hour"), "file")
+    day, hour = (F.col(c).cast("string") if c in lines.columns else F.lit(None).cast("string") for c in ("dt", "hour"))
+    return read.select("e.*", day.alias("dt"), F.lpad(hour, 2, "0").alias("hour"), "file")
 
 
 class TornFile:
